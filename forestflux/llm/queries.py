@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, urls, warc
+from . import decontam, mixing, quality, urls, warc
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -21,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents")).drop("distance")
+
+
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_read(_read(spark, sf_dir, "pages"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +44,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_revisits": op3_revisits,
     "op4_decontaminate": op4_decontaminate,
     "op7_url_filter": op7_url_filter,

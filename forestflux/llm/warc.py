@@ -108,12 +108,23 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, id_c
     return int(written)
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of an archive, without copying what is left of it for each."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        unpacker, out = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(data):
+                raise ValueError("an archive ends inside a record")
+            piece = view[at : at + (1 << 14)]
+            out.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        yield b"".join(out)
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, gzip members one after another."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(data)
-        data = unpacker.unused_data
+    """Records of one archive."""
+    for raw in _members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
