@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, urls, warc
+from . import decontam, mixing, quality, tokens, urls, warc
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -21,6 +21,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer that the contracts name; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_read(_read(spark, sf_dir, "documents"), tokenizer_path(), end=2)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents")).drop("distance")
 
@@ -44,6 +55,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_quality": op2_quality,
     "op3_revisits": op3_revisits,
     "op4_decontaminate": op4_decontaminate,
