@@ -341,12 +341,18 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
 # ---------------------------------------------------------------- files
 
 
+def block_for(total: int) -> int:
+    """Ids in a block of a file: BLOCK, or less where a short file would have too few lanes to fill numpy's arrays."""
+    return min(BLOCK, max(256, 1 << max(0, total // 1024 - 1).bit_length()))
+
+
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nibbles: int) -> bytes:
     """One file: header, documents, blocks, and a checksum of all that."""
-    words = encode_blocks(ids, nibbles)
+    block = block_for(len(ids))
+    words = encode_blocks(ids, nibbles, block)
     little = ids.astype("<u4")
-    sums = np.array([zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(len(words))], "<u4")
-    head = _HEAD.pack(_MAGIC, len(doc_ids), len(ids), BLOCK, nibbles, len(words))
+    sums = np.array([zlib.crc32(little[k * block : (k + 1) * block].tobytes()) for k in range(len(words))], "<u4")
+    head = _HEAD.pack(_MAGIC, len(doc_ids), len(ids), block, nibbles, len(words))
     head += doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u8").tobytes()
     head += np.array([len(w) for w in words], "<u4").tobytes() + sums.tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(w.astype("<u2").tobytes() for w in words)
