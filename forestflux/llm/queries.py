@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, tokens, urls, warc
+from . import decontam, html, mixing, quality, tokens, urls, warc
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -45,6 +45,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_revisits": op3_revisits,
     "op4_decontaminate": op4_decontaminate,
+    "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op10_mix": op10_mix,
 }
