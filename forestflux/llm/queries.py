@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, mixing, quality, tokens, urls, warc
+from . import automata, decontam, html, mixing, quality, suffixes, tokens, urls, warc
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -45,6 +45,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_copies(_read(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_read(spark, sf_dir, "pages"))
 
@@ -53,6 +57,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,8 +71,10 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_revisits": op3_revisits,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
+    "op8_automaton_dedup": op8_automaton_dedup,
     "op10_mix": op10_mix,
 }
 
