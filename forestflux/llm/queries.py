@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, decontam, html, mixing, quality, suffixes, tokens, urls, warc
+from . import automata, decontam, html, jaccard, mixing, quality, suffixes, tokens, urls, warc
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -61,6 +61,10 @@ def op8_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op8_automaton_dedup": op8_automaton_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
 }
 
