@@ -141,14 +141,14 @@ _U = np.uint64
 _TOP, _LOW32 = _U(1 << 48), _U((1 << 32) - 1)
 _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
-_SLOTS1, _SLOTS2 = 11, 12
+_SLOTS1, _SLOTS2 = 10, 11
 _RATE = 4
 
 
 def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
     stretch = [round(256 * math.log((2 * p + 1) / (8191 - 2 * p))) for p in range(4096)]
     squash = [min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)]
-    return np.array(stretch, np.int64), np.array(squash, np.int64)
+    return np.array(stretch, np.int32), np.array(squash, np.int32)
 
 
 _STRETCH, _SQUASH = _logistic_tables()
@@ -162,61 +162,69 @@ class _Lanes:
     def __init__(self, n: int, nibbles: int):
         self.n, self.nibbles = n, nibbles
         self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
-        self.p1, self.c1 = np.zeros(n << _SLOTS1, np.int32), np.zeros(n << _SLOTS1, np.int8)
-        self.p2, self.c2 = np.zeros(n << _SLOTS2, np.int32), np.zeros(n << _SLOTS2, np.int8)
+        # the id that followed a context last, times 8, plus its confidence: one word, so one memory access
+        self.t1, self.t2 = np.zeros(n << _SLOTS1, np.int32), np.zeros(n << _SLOTS2, np.int32)
         lane = np.arange(n, dtype=np.int64)
         self.base1, self.base2 = lane << _SLOTS1, lane << _SLOTS2
-        first = np.array([[(8 * c2 + r) for r in range(3)] for c2 in range(8)])
-        self.chance = [np.tile(np.minimum(60000, 2000 + 700 * first.ravel()), n), np.tile(np.repeat(2000 + 4000 * np.arange(8), 2), n), np.full(16 * n, 12000)]
-        self.width = [lane * 24, lane * 16, lane * 16]
-        self.weight = [np.full(n, 26000, np.int64) for _ in range(3)]
-        self.history = np.zeros(n, np.int64)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        contexts = 1 + 16 + 256 * (nibbles - 2)
+        # contexts of the three chances: confidence 2 with how the guesses relate, confidence 1, recent hits; 64 in all
+        start = np.concatenate([np.minimum(60000, 2000 + 700 * (8 * (np.arange(24) // 3) + np.arange(24) % 3)), 2000 + 4000 * (np.arange(16) // 2), np.full(24, 12000)])
+        self.chance = np.tile(start.astype(np.int32), n)
+        self.width = (lane * 64).astype(np.int32)
+        self.weight = np.full((3, n), 26000, np.int32)
+        self.history = np.zeros(n, np.int32)
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        contexts = 1 + 16 + 256 + 16 * (nibbles - 3)
         self.bounds = np.tile((np.arange(16) * (_TOTAL // 16)).astype(np.int16), (n * contexts, 1))
-        self.base0 = lane * contexts
+        self.base0 = (lane * contexts).astype(np.int32)
 
     def shrink(self, n: int) -> None:
         """Goes on with the first n lanes only."""
         self.n = n
         for name in ("low", "range", "base0", "base1", "base2", "history", "last", "before"):
             setattr(self, name, getattr(self, name)[:n])
-        self.width, self.weight = [x[:n] for x in self.width], [x[:n] for x in self.weight]
+        self.width, self.weight = self.width[:n], self.weight[:, :n]
 
     def predict(self) -> None:
-        a = self.last * 0x9E3779B1
+        a = self.last * np.int32(0x1E3779B1)
         self.s1 = self.base1 + ((a >> 13) & ((1 << _SLOTS1) - 1))
-        self.s2 = self.base2 + (((a + self.before * 0x85EBCA6B) >> 14) & ((1 << _SLOTS2) - 1))
-        self.q1, self.k1, self.q2, self.k2 = self.p1[self.s1], self.c1[self.s1], self.p2[self.s2], self.c2[self.s2]
+        self.s2 = self.base2 + (((a + self.before * np.int32(0x05EBCA6B)) >> 14) & ((1 << _SLOTS2) - 1))
+        v1, v2 = self.t1.take(self.s1), self.t2.take(self.s2)
+        self.q1, self.k1, self.q2, self.k2 = v1 >> 3, v1 & 7, v2 >> 3, v2 & 7
         sure = self.k2 > 0
         self.guess = np.where(sure, self.q2, self.q1)
-        relation = (self.k1 > 0) * (1 + (self.q1 == self.q2))
-        self.at = [self.width[0] + self.k2 * 3 + relation, self.width[1] + self.k1 * 2 + sure, self.width[2] + self.history]
-        self.drawn = [c[i] for c, i in zip(self.chance, self.at)]
-        self.stretched = [_STRETCH[p >> 4] for p in self.drawn]
-        mixed = sum(w * s for w, s in zip(self.weight, self.stretched)) >> 16
-        self.p = _SQUASH[np.clip(mixed, -2047, 2047) + 2048]
+        relation = (self.k1 > 0) * (np.int32(1) + (self.q1 == self.q2))
+        self.at = np.empty((3, self.n), np.int32)
+        self.at[0] = self.width + self.k2 * 3 + relation
+        self.at[1] = self.width + (self.k1 * 2 + 24) + sure
+        self.at[2] = self.width + (self.history + 40)
+        self.drawn = self.chance.take(self.at)
+        self.stretched = _STRETCH.take(self.drawn >> 4)
+        mixed = (self.weight * self.stretched).sum(axis=0, dtype=np.int32) >> 16
+        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2048)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         error = ((hit << 12) - self.p) * 6
-        for k in range(3):
-            self.chance[k][self.at[k]] = self.drawn[k] + (((hit << 16) - hit - self.drawn[k]) >> _RATE)
-            self.weight[k] += (self.stretched[k] * error + 0x2000) >> 14
+        self.chance[self.at] = self.drawn + ((hit * 65535 - self.drawn) >> _RATE)
+        self.weight += (self.stretched * error + 0x2000) >> 14
+        np.minimum(self.weight, 1 << 18, out=self.weight)
+        np.maximum(self.weight, -(1 << 18), out=self.weight)
         self.history = ((self.history << 1) | hit) & 15
-        for p, c, s, q, k in ((self.p1, self.c1, self.s1, self.q1, self.k1), (self.p2, self.c2, self.s2, self.q2, self.k2)):
-            same, weak = q == ids, k < 2
-            p[s] = np.where(weak, ids, q)
-            c[s] = np.where(same, np.minimum(k + 1, 7), np.where(weak, 1, k >> 1))
+        for t, s, q, k in ((self.t1, self.s1, self.q1, self.k1), (self.t2, self.s2, self.q2, self.k2)):
+            grown = np.where(q == ids, np.minimum(k + 1, 7), k >> 1)
+            t[s] = np.where(k < 2, (ids << 3) + np.maximum(grown, 1), (q << 3) + grown)
         self.before, self.last = self.last, ids
 
     def context(self, level: int, ids: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """The order-0 context of a nibble: the one or two nibbles above it."""
+        """The order-0 context of a nibble: the nibbles above it, of which from the fourth on only the last."""
+        base = self.base0.take(lanes)
         if level == 0:
-            return self.base0[lanes]
+            return base
         above = ids >> (4 * (self.nibbles - level))
         if level == 1:
-            return self.base0[lanes] + 1 + (above & 15)
-        return self.base0[lanes] + 17 + 256 * (level - 2) + (above & 255)
+            return base + 1 + (above & 15)
+        if level == 2:
+            return base + 17 + (above & 255)
+        return base + 273 + 16 * (level - 3) + (above & 15)
 
     def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
         """Takes the part [start, start + size) of 2**bits of the ranges; shift(lanes) moves settled words out or in."""
@@ -241,7 +249,7 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
     n = -(-len(ids) // block)
     if not n:
         return []
-    grid = np.zeros((n, block), np.int64)
+    grid = np.zeros((n, block), np.int32)
     grid.ravel()[: len(ids)] = ids
     steps = np.ascontiguousarray(grid.T)
     del grid
@@ -262,7 +270,7 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
                 break
         ids_now = steps[t, : lanes.n]
         lanes.predict()
-        hit = (lanes.guess == ids_now).astype(np.int64)
+        hit = (lanes.guess == ids_now).astype(np.int32)
         p = lanes.p << 4
         lanes.narrow(slice(0, lanes.n), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16, emit)
         missed = np.flatnonzero(hit == 0)
@@ -273,8 +281,8 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
                 rows = lanes.bounds[at]
                 nib = (wanted >> (4 * (nibbles - 1 - level))) & 15
                 k = np.arange(len(nib))
-                start = rows[k, nib].astype(np.int64)
-                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int64))
+                start = rows[k, nib].astype(np.int32)
+                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int32))
                 lanes.narrow(missed, start, end - start, _TOTAL_BITS, emit)
                 lanes.bounds[at] = rows + ((_TARGET[nib] - rows) >> _RATE)
         lanes.learn(ids_now, hit)
@@ -313,22 +321,21 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
         m = lanes.n
         lanes.predict()
         p = lanes.p << 4
-        hit = ((code[:m] - lanes.low) < (lanes.range >> _U(16)) * p.astype(_U)).astype(np.int64)
+        hit = ((code[:m] - lanes.low) < (lanes.range >> _U(16)) * p.astype(_U)).astype(np.int32)
         lanes.narrow(slice(0, m), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16, take)
-        ids = lanes.guess.astype(np.int64)
+        ids = lanes.guess.copy()
         missed = np.flatnonzero(hit == 0)
         if len(missed):
-            found = np.zeros(len(missed), np.int64)
+            found = np.zeros(len(missed), np.int32)
             for level in range(nibbles):
                 # the nibbles found so far stand where those of a whole id would
                 at_ctx = lanes.context(level, found << (4 * (nibbles - level)), missed)
                 rows = lanes.bounds[at_ctx]
-                value = ((code[missed] - lanes.low[missed]) // (lanes.range[missed] >> _U(_TOTAL_BITS))).astype(np.int64)
-                value = np.minimum(value, _TOTAL - 1)
-                nib = (rows <= value[:, None]).sum(axis=1) - 1
+                value = np.minimum((code[missed] - lanes.low[missed]) // (lanes.range[missed] >> _U(_TOTAL_BITS)), _U(_TOTAL - 1)).astype(np.int16)
+                nib = (rows <= value[:, None]).sum(axis=1, dtype=np.int32) - 1
                 k = np.arange(len(nib))
-                start = rows[k, nib].astype(np.int64)
-                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int64))
+                start = rows[k, nib].astype(np.int32)
+                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int32))
                 lanes.narrow(missed, start, end - start, _TOTAL_BITS, take)
                 lanes.bounds[at_ctx] = rows + ((_TARGET[nib] - rows) >> _RATE)
                 found = (found << 4) | nib
