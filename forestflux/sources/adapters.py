@@ -116,7 +116,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
             "dist": F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(600000.0) - F.lit(0.125) * i),
             "sig_begin_offset": F.lit(-7.5625), "sig_end_offset": F.lit(-1.0625), "noise_mean": F.lit(0.05), "noise_sd": F.lit(0.01),
             "gaussian_mu": F.transform(k, lambda i: F.lit(-1.25) * i), "gaussian_amp": F.slice("rec_wf", 1, 6), "gaussian_sigma": F.transform(k, lambda i: 4.0 + (F.col("vec_id") % 5)),
-            "num_gaussian_peaks": (F.col("vec_id") % 6 + 1).cast("int"), "centroid_offset": F.lit(-4.0), "time": (F.col("vec_id") * 86400 * 5 + 100000000).cast("double"),
+            "num_gaussian_peaks": (F.col("vec_id") % 6 + 1).cast("int"), "centroid_offset": F.lit(-4.0), "time": (F.col("vec_id") * 100000 + 1128000000).cast("double"),
             "lat": F.when(F.col("vec_id") % 97 == 0, None).otherwise(F.col("vec_id") % 120 - 60).cast("double"),
         }
     )
