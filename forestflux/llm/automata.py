@@ -137,8 +137,11 @@ def automaton_kernel(scheme: Scheme, anchor: np.ndarray, lead: np.ndarray, parts
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text, spans) for every document: spans of words that occur anywhere else too; may overlap, null if none."""
-    return with_spans(docs, repeated_spans(docs, Scheme(length, min(GRAM, max(1, length // 2)), True), automaton_kernel, False))
+    """(doc_id, text, all, spans) for every document: spans of words that occur anywhere else too; may overlap, null if none.
+
+    all: another row has the whole text, so all of it repeats if it is long enough.
+    """
+    return with_spans(docs, repeated_spans(docs, Scheme(length, min(GRAM, max(1, length // 2)), True), automaton_kernel, False), False)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
@@ -148,8 +151,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans, whole in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("all").to_pylist()):
                 words = (text or b"").split()
+                if whole and len(words) >= length:
+                    spans = [{"s": 0, "e": len(words)}]
                 s, e = merge_spans(np.array([x["s"] for x in spans or ()], np.int64), np.array([x["e"] for x in spans or ()], np.int64))
                 for a, b in zip(s[::-1].tolist(), e[::-1].tolist()):
                     del words[a:b]

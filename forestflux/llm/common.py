@@ -41,14 +41,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and a lost executor costs nothing already written."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table written by table(), once nothing will read it again."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, which go once their plans are garbage."""
     gc.collect()

@@ -20,7 +20,10 @@ def components(links: DataFrame) -> DataFrame:
         rank = lambda c, step=step: F.xxhash64(c, F.lit(step))
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("v"))).alias("m"))
-        parent = table(least.select(F.col("a").alias("u"), F.when(F.col("m.h") < rank("a"), F.col("m.v")).otherwise(F.col("a")).alias("p")), "parents")
+        step_up = least.select(F.col("a").alias("u"), F.when(F.col("m.h") < rank("a"), F.col("m.v")).otherwise(F.col("a")).alias("p"))
+        parent = table(step_up, "parents")
+        above = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        parent = table(parent.join(above, "p").select("u", F.col("q").alias("p")), "parents")  # two steps at once
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_BYTES, batch_texts, blank_table, gram_hashes, joined, mix64, partitions_for, range_hashes, release, slices, table, text_bytes, word_spans
+from .common import MAX_BROADCAST_BYTES, batch_texts, blank_table, drop_table, gram_hashes, joined, mix64, partitions_for, range_hashes, release, slices, table, text_bytes, word_spans
 from .components import components
 from .windows import NO_ID
 
@@ -199,7 +199,7 @@ def segments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, fragme
                 grams = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(nodes[a:b], fragments)), "fragment": pa.array(np.tile(np.arange(fragments, dtype=np.int32), b - a)), "grams": grams})
 
-    return rows.mapInArrow(run, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
+    return rows.mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
 _PAIR = "a long, b long, size_a int, size_b int"
@@ -252,13 +252,15 @@ def verify(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted per fragment and summed."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    overlaps = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
-    summed = overlaps.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
+    overlaps = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    # repeated rows of one document give a fragment twice, with equal counts
+    once = overlaps.groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("overlap").alias("overlap"))
+    summed = once.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
     return summed.where((100 + per_cent) * F.col("overlap") >= per_cent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """The sets (doc_id, ord, key, n_shingles, node) of all documents, and links (a, b) that connect the same nodes as all links do."""
+    """The sets (doc_id, ord, key, n_shingles, node) of all documents, and (node, root) of all nodes that are linked with others."""
     spark = docs.sparkSession
     rows, total = text_bytes(docs)
     sets = table(document_sets(docs, n), "sets")
@@ -273,7 +275,9 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
         return bucketed.groupBy("bucket").applyInArrow(_pairs(per_cent, first, block), _PAIR).distinct()
 
+    release(spark)
     tested = table(candidates(groups.withColumn("part", F.col("node")), True, 0), "pairs")
+    release(spark)
     links = table(verify(tested, parts, per_cent), "links")
     block = 0
     while True:
@@ -284,8 +288,11 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         open_ = split.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q")
         open_ = table(open_.where(F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m"))) * block < F.col("m")).select("gram"), "open")
         if open_.isEmpty():
-            return sets, links
+            drop_table(parts)
+            drop_table(groups)
+            return sets, label
         found = table(candidates(split.join(open_, "gram", "left_semi"), False, block).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        release(spark)
         links = table(links.unionByName(verify(found, parts, per_cent)), "links")
         tested = tested.unionByName(found)
         block += 1
@@ -293,8 +300,7 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
 
 def near_components(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragments: int = FRAGMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the least doc_id reachable by links."""
-    sets, links = join_documents(docs, n, per_cent, fragments)
-    label = components(links)
+    sets, label = join_documents(docs, n, per_cent, fragments)
     full = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("part", F.coalesce("root", "node")).select("doc_id", "n_shingles", "part")
     full = table(full, "parts")
     least = table(full.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least")

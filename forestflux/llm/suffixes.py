@@ -86,8 +86,11 @@ def lpf_kernel(scheme: Scheme, anchor: np.ndarray, lead: np.ndarray, parts: list
 
 
 def find_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text, spans) for every document: spans of bytes that an earlier document holds too; may overlap, null if none."""
-    return with_spans(docs, repeated_spans(docs, Scheme(length, min(GRAM, max(1, length // 2)), False), lpf_kernel, True))
+    """(doc_id, text, all, spans) for every document: spans of bytes that an earlier document holds too; may overlap, null if none.
+
+    all: an earlier document has the whole text, so all of it repeats if it is long enough.
+    """
+    return with_spans(docs, repeated_spans(docs, Scheme(length, min(GRAM, max(1, length // 2)), False), lpf_kernel, True), True)
 
 
 def remove_copies(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
@@ -97,8 +100,10 @@ def remove_copies(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans, whole in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("all").to_pylist()):
                 data = text or b""
+                if whole and len(data) >= length:
+                    spans = [{"s": 0, "e": len(data)}]
                 s, e = merge_spans(np.array([x["s"] for x in spans or ()], np.int64), np.array([x["e"] for x in spans or ()], np.int64))
                 kept = b"".join(data[a:b] for a, b in zip([0, *e], [*s, len(data)])) if len(s) else data
                 row = (len(data), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest())

@@ -2,18 +2,19 @@
 
 A window's anchor is the k-gram in it with the least hash (its minimiser), so equal windows have equal anchors at equal places.
 
-1. Every document yields its anchors. Those that occur twice in a task's slice are known to repeat; of each only one stands in for the
+0. Equal texts are one text, of the first document that has it; what else has it is known to repeat from end to end.
+1. Every text yields its anchors. Those that occur twice in a task's slice are known to repeat; of each only one stands in for the
    slice, so that a passage found in a third of all documents costs the next step one row a slice. The rest are shuffled by hash in
    packed arrays, and those seen in other slices come back.
-2. Documents with repeated anchors yield, per such anchor, its context: all symbols that a window around it can reach. Equal contexts
-   are merged with map-side combining; contexts of an anchor meet in one task, where a kernel (suffix order or suffix automaton) finds
-   the windows that occur again.
-3. What was found about a context is joined to the places where it occurs, which gives spans per document.
+2. Texts with repeated anchors yield, per such anchor, its context: all symbols that a window around it can reach, known by its hash.
+   Equal contexts are merged with map-side combining. Where an anchor has one context only, all its windows occur as often as that.
+   The symbols of the others meet in one task per anchor, where a kernel (suffix order or suffix automaton) decides window by window.
+3. What was found about a context is joined to the places where it occurs, which gives spans per text.
 
 Nothing is cut off or capped: a window is decided by its contents. Anchor hashes only choose candidates; the kernels compare symbols
 (bytes as they are; words by 40 bits of their hashes).
 
-Rows are told apart by the 64-bit hash of doc_id and text, so equal rows share their (equal) result.
+Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, blank_table, gram_hashes, joined, mix64, range_hashes, release, slices, table, text_bytes, word_spans
+from .common import batch_texts, blank_table, drop_table, gram_hashes, joined, mix64, range_hashes, release, slices, table, text_bytes, word_spans
 
 SLICE_BYTES = 2 << 20
 #: Anchors that meet in one group of the first shuffle, and contexts in one of the second.
@@ -95,7 +96,8 @@ def anchors(symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, scheme: S
 
 
 def _key_columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), text.alias("text"))
 
 
 def repeated_anchors(docs: DataFrame, scheme: Scheme, total_symbols: int) -> DataFrame:
@@ -107,12 +109,14 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme, total_symbols: int) -> Dat
             keys = np.array(batch.column("key").to_pylist(), np.int64)
             texts = batch_texts(batch.column("text"))
             for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
-                symbols, begins, ends, _ = symbols_of(texts[a:b], scheme.words)
+                once = np.sort(np.unique(keys[a:b], return_index=True)[1]) + a  # equal texts count once
+                symbols, begins, ends, _ = symbols_of([texts[i] for i in once], scheme.words)
                 places, found = anchors(symbols, begins, ends, scheme)
                 if not len(places):
                     continue
+                # of texts without symbols that start at the same place the last is the one with the anchor
                 doc = np.searchsorted(begins, places, "right") - 1
-                key, place = keys[a:b][doc], (places - begins[doc]).astype(np.uint32)
+                key, place = keys[once][doc], (places - begins[doc]).astype(np.uint32)
                 order = np.argsort(found, kind="stable")
                 ranked = found[order]
                 twin = np.zeros(len(ranked), bool)
@@ -148,15 +152,20 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme, total_symbols: int) -> Dat
         direct = [i for i, f in enumerate(cols["found"]) if not f]
         whole = lambda c, kind, rows: np.frombuffer(b"".join(cols[c][i] for i in rows), kind)
         found, known = whole("found", np.uint64, shuffled), whole("known", bool, shuffled)
-        order = np.argsort(found, kind="stable")
+        keys, places = whole("key", np.int64, shuffled), whole("place", np.uint32, shuffled)
+        order = np.lexsort((known, places, keys, found))
+        same = np.zeros(len(order), bool)  # one place of one text, from several slices
+        a, b = order[1:], order[:-1]
+        same[1:] = (found[a] == found[b]) & (keys[a] == keys[b]) & (places[a] == places[b])
+        order = order[~same]
         ranked = found[order]
         twin = np.zeros(len(ranked), bool)
         twin[1:] = ranked[1:] == ranked[:-1]
         twin[:-1] |= twin[1:]
         pick = order[twin]
         pick = pick[~known[pick]]
-        key = np.concatenate([whole("key", np.int64, shuffled)[pick], whole("key", np.int64, direct)])
-        place = np.concatenate([whole("place", np.uint32, shuffled)[pick], whole("place", np.uint32, direct)]).astype(np.int32)
+        key = np.concatenate([keys[pick], whole("key", np.int64, direct)])
+        place = np.concatenate([places[pick], whole("place", np.uint32, direct)]).astype(np.int32)
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -168,9 +177,12 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme, total_symbols: int) -> Dat
     return parts.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
 
+_CONTEXT = "context long, anchor long, lead short, size short, symbols binary, key long, ord long, place int"
+
+
 def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
-    """(context, anchor, lead, symbols, key, ord, place) for each repeated anchor; context is the hash of the others but the last three."""
-    rows = docs.join(places, "key")
+    """A row per repeated anchor of each text; context is the hash of anchor, lead, size and symbols. places: key, first, places."""
+    rows = docs.join(places, (docs["key"] == places["key"]) & (docs["ord"] == places["first"])).select(docs["key"], "ord", "text", "places")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +197,8 @@ def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
                 at = np.asarray(part.flatten()).astype(np.int64) + begins[doc]
                 left, right = np.maximum(begins[doc], at - scheme.reach), np.minimum(ends[doc], at + scheme.length)
                 anchor = range_hashes(symbols, at, at + scheme.k)
-                lead = at - left
+                lead, size = at - left, right - left
                 context = mix64(range_hashes(symbols, left, right) + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                size = right - left
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 index = np.arange(offsets[-1]) + np.repeat(left - offsets[:-1], size)
                 if scheme.words:
@@ -198,27 +209,40 @@ def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "context": pa.array(context.view(np.int64)), "anchor": pa.array(anchor.view(np.int64)), "lead": pa.array(lead.astype(np.int16)), "symbols": binary,
+                        "context": pa.array(context.view(np.int64)), "anchor": pa.array(anchor.view(np.int64)), "lead": pa.array(lead.astype(np.int16)), "size": pa.array(size.astype(np.int16)), "symbols": binary,
                         "key": pa.array(keys[a:b][doc]), "ord": pa.array(ords[a:b][doc]), "place": pa.array((at - begins[doc]).astype(np.int32)),
                     }
                 )
 
-    return rows.select("key", "ord", "text", "places").mapInArrow(emit, "context long, anchor long, lead short, symbols binary, key long, ord long, place int")
+    return rows.mapInArrow(emit, _CONTEXT)
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: bool) -> DataFrame:
-    """(key, spans) of the documents in which windows occur again; spans are struct<s, e> in symbols, in no order.
+    """(key, first, n, spans) of the texts that more than one row has, or in which windows occur again.
 
-    earlier: only windows that also occur in a document with a smaller id count; else any other occurrence does.
+    key is the text's hash, first the least id that has it, n the number of rows; spans are struct<s, e> in symbols, in no order.
+    earlier: only windows that also occur in a text whose first id is smaller; else any other occurrence does.
     """
     spark = docs.sparkSession
     keyed = _key_columns(docs)
     _, total = text_bytes(keyed)
-    found = table(contexts(keyed, repeated_anchors(keyed, scheme, total // 6 if scheme.words else total), scheme), "contexts")
+    owners = table(keyed.groupBy("key").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")), "owners")
+    places = table(repeated_anchors(keyed, scheme, total // 6 if scheme.words else total).join(owners.drop("n"), "key"), "places", "zstd")
+    release(spark)
+    found = table(contexts(keyed, places, scheme), "contexts", "zstd")
+    drop_table(places)
     release(spark)
-    merged = found.groupBy("context", "anchor", "lead").agg(F.first("symbols").alias("symbols"), F.min("ord").alias("least"), F.max("ord").alias("most"), F.count(F.lit(1)).alias("n"))
-    buckets = max(1, found.count() // BUCKET_CONTEXTS + 1)
-    merged = merged.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets)))
+    merged = found.groupBy("context", "anchor", "lead", "size").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count(F.lit(1)).alias("n"))
+    merged = table(merged, "merged")
+    release(spark)
+    mixed = table(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed")
+    low, high = F.greatest(F.lit(0), F.col("lead") - scheme.reach), F.least(F.col("lead"), F.col("size") - scheme.length)
+    plain = merged.join(mixed, "anchor", "left_anti").where(low <= high)
+    plain = plain.where("least < most") if earlier else plain.where("n >= 2")
+    plain = plain.select("context", F.col("least").alias("value"), (low - F.col("lead")).cast("int").alias("s"), (high - F.col("lead") + scheme.length).cast("int").alias("e"))
+    hard = found.join(mixed, "anchor", "left_semi").groupBy("context").agg(F.first("symbols").alias("symbols"))
+    hard = hard.join(merged.join(mixed, "anchor", "left_semi"), "context")
+    buckets = max(1, merged.count() // BUCKET_CONTEXTS + 1)
 
     def decide(group: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(group.column("anchor").combine_chunks()), kind="stable")
@@ -230,17 +254,25 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: boo
         which, value, first, last = which[use], value[use], first[use], last[use]
         return pa.table({"context": pa.array(context[which]), "value": pa.array(value), "s": pa.array((first - lead[which]).astype(np.int32)), "e": pa.array((last - lead[which] + scheme.length).astype(np.int32))})
 
-    runs = table(merged.groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int"), "runs")
+    hard = hard.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets)))
+    runs = table(plain.unionByName(hard.groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int")), "runs")
+    drop_table(merged)
     release(spark)
-    # two plain exchanges: a context that very many documents share is split at run time
+    # two plain exchanges: a context that very many texts share is split at run time
     hits = found.select("context", "key", "ord", "place").join(runs, "context")
     if earlier:
         hits = hits.where("value < ord")
     spans = hits.select("key", F.struct((F.col("place") + F.col("s")).alias("s"), (F.col("place") + F.col("e")).alias("e")).alias("span"))
-    return spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    out = table(owners.join(spans, "key", "left").where("n > 1 or spans is not null"), "spans", "zstd")
+    drop_table(found)
+    drop_table(runs)
+    release(spark)
+    return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) for every row of docs; spans is null where nothing repeats."""
-    rows = docs.select("doc_id", F.col("text"), F.xxhash64("doc_id", "text").alias("key"))
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+def with_spans(docs: DataFrame, spans: DataFrame, earlier: bool) -> DataFrame:
+    """(doc_id, text, all, spans) for every row of docs; all: the whole text occurs elsewhere (earlier: in a smaller id)."""
+    rows = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    whole = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) > F.col("first") if earlier else F.col("n") > 1
+    return rows.join(spans, "key", "left").select("doc_id", "text", F.coalesce(whole, F.lit(False)).alias("all"), "spans")
