@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import emissions, lidar  # noqa: F401
+from . import emissions, lidar, series  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
