@@ -166,18 +166,14 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme, total_symbols: int) -> Dat
         pick = pick[~known[pick]]
         key = np.concatenate([keys[pick], whole("key", np.int64, direct)])
         place = np.concatenate([places[pick], whole("place", np.uint32, direct)]).astype(np.int32)
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place))
-        return pa.table({"key": pa.array(key[starts]), "places": lists})
+        return pa.table({"key": pa.array(key), "place": pa.array(place)})
 
     packed = docs.select("key", "text").mapInArrow(emit, "bucket int, found binary, key binary, place binary, known binary")
-    parts = packed.groupBy("bucket").applyInArrow(meet, "key long, places array<int>")
-    return parts.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    parts = packed.groupBy("bucket").applyInArrow(meet, "key long, place int")
+    return parts.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
-_CONTEXT = "context long, anchor long, lead short, size short, symbols binary, key long, ord long, place int"
+_CONTEXT = "context long, anchor long, lead short, size short, key long, ord long, place int"
 
 
 def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
@@ -199,6 +195,38 @@ def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
                 anchor = range_hashes(symbols, at, at + scheme.k)
                 lead, size = at - left, right - left
                 context = mix64(range_hashes(symbols, left, right) + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "context": pa.array(context.view(np.int64)), "anchor": pa.array(anchor.view(np.int64)), "lead": pa.array(lead.astype(np.int16)), "size": pa.array(size.astype(np.int16)),
+                        "key": pa.array(keys[a:b][doc]), "ord": pa.array(ords[a:b][doc]), "place": pa.array((at - begins[doc]).astype(np.int32)),
+                    }
+                )
+
+    return rows.mapInArrow(emit, _CONTEXT)
+
+
+_ITEMS = "context long, anchor long, lead short, size short, least long, most long, n long"
+
+
+def context_symbols(docs: DataFrame, owners: DataFrame, items: DataFrame, scheme: Scheme) -> DataFrame:
+    """(context, anchor, lead, size, least, most, n, symbols) of the contexts in items, each cut from the text of its place.
+
+    items: key, items, the latter an array of structs of a context's columns and its place in that text.
+    """
+    rows = items.join(owners.select("key", "first"), "key")
+    rows = docs.join(rows, (docs["key"] == rows["key"]) & (docs["ord"] == rows["first"])).select("text", "items")
+    names = [c.split()[0] for c in _ITEMS.split(", ")]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch_texts(batch.column("text")), batch.column("items")
+            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES // 4):
+                symbols, begins, _, _ = symbols_of(texts[a:b], scheme.words)
+                part = lists.slice(a, b - a)
+                doc = np.repeat(np.arange(b - a), np.asarray(part.value_lengths()))
+                flat = part.flatten()
+                place, lead, size = (np.asarray(flat.field(c)).astype(np.int64) for c in ("place", "lead", "size"))
+                left = begins[doc] + place - lead
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 index = np.arange(offsets[-1]) + np.repeat(left - offsets[:-1], size)
                 if scheme.words:
@@ -206,15 +234,10 @@ def contexts(docs: DataFrame, places: DataFrame, scheme: Scheme) -> DataFrame:
                     offsets = offsets * WORD_BYTES
                 else:
                     body = symbols[index]
-                binary = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "context": pa.array(context.view(np.int64)), "anchor": pa.array(anchor.view(np.int64)), "lead": pa.array(lead.astype(np.int16)), "size": pa.array(size.astype(np.int16)), "symbols": binary,
-                        "key": pa.array(keys[a:b][doc]), "ord": pa.array(ords[a:b][doc]), "place": pa.array((at - begins[doc]).astype(np.int32)),
-                    }
-                )
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+                yield pa.RecordBatch.from_arrays([*[flat.field(c) for c in names], binary], names=[*names, "symbols"])
 
-    return rows.mapInArrow(emit, _CONTEXT)
+    return rows.mapInArrow(emit, _ITEMS + ", symbols binary")
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: bool) -> DataFrame:
@@ -232,16 +255,17 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: boo
     found = table(contexts(keyed, places, scheme), "contexts", "zstd")
     drop_table(places)
     release(spark)
-    merged = found.groupBy("context", "anchor", "lead", "size").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count(F.lit(1)).alias("n"))
-    merged = table(merged, "merged")
+    merged = found.groupBy("context", "anchor", "lead", "size").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
+    merged = table(merged, "merged", "zstd")
     release(spark)
     mixed = table(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed")
     low, high = F.greatest(F.lit(0), F.col("lead") - scheme.reach), F.least(F.col("lead"), F.col("size") - scheme.length)
     plain = merged.join(mixed, "anchor", "left_anti").where(low <= high)
     plain = plain.where("least < most") if earlier else plain.where("n >= 2")
     plain = plain.select("context", F.col("least").alias("value"), (low - F.col("lead")).cast("int").alias("s"), (high - F.col("lead") + scheme.length).cast("int").alias("e"))
-    hard = found.join(mixed, "anchor", "left_semi").groupBy("context").agg(F.first("symbols").alias("symbols"))
-    hard = hard.join(merged.join(mixed, "anchor", "left_semi"), "context")
+    whole = [F.col(c.split()[0]) for c in _ITEMS.split(", ")]
+    items = merged.join(mixed, "anchor", "left_semi").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct(*whole, F.col("at.place").alias("place"))).alias("items"))
+    hard = table(context_symbols(keyed, owners, items, scheme), "symbols", "zstd")
     buckets = max(1, merged.count() // BUCKET_CONTEXTS + 1)
 
     def decide(group: pa.Table) -> pa.Table:
@@ -255,8 +279,10 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: boo
         return pa.table({"context": pa.array(context[which]), "value": pa.array(value), "s": pa.array((first - lead[which]).astype(np.int32)), "e": pa.array((last - lead[which] + scheme.length).astype(np.int32))})
 
     hard = hard.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets)))
-    runs = table(plain.unionByName(hard.groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int")), "runs")
+    decided = hard.groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int")
+    runs = table(plain.unionByName(decided), "runs", "zstd")
     drop_table(merged)
+    drop_table(hard)
     release(spark)
     # two plain exchanges: a context that very many texts share is split at run time
     hits = found.select("context", "key", "ord", "place").join(runs, "context")
