@@ -18,8 +18,11 @@ def write_columns(df: DataFrame, path: str, columns: list[str], mode: str = "ove
 
 
 def write_region(df: DataFrame, path: str, keys: tuple[str, ...] = ("tile_id", "subtile")) -> None:
-    """Replaces only the partitions that df has."""
+    """Replaces only the partitions that df has (Spark leaves no _SUCCESS there, so one is set)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(done, True).close()
 
 
 def write_rollup(df: DataFrame, path: str) -> None:
