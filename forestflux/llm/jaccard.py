@@ -267,18 +267,23 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     common = common_shingles(docs, n, rows, total)
     groups = table(prefix_groups(docs, n, per_cent, common, total), "prefixes")
     release(spark)
-    parts = table(segments(docs, sets, groups.select("node").distinct(), n, fragments), "segments")
-    release(spark)
     buckets = max(1, groups.count() // (BUCKET_ROWS // 4) + 1)
 
     def candidates(rows: DataFrame, first: bool, block: int) -> DataFrame:
         bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
         return bucketed.groupBy("bucket").applyInArrow(_pairs(per_cent, first, block), _PAIR).distinct()
 
-    release(spark)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only the sets of their nodes are cut and moved."""
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        parts = table(segments(docs, sets, nodes, n, fragments), "segments")
+        out = table(verify(pairs, parts, per_cent), "links")
+        drop_table(parts)
+        release(spark)
+        return out
+
     tested = table(candidates(groups.withColumn("part", F.col("node")), True, 0), "pairs")
-    release(spark)
-    links = table(verify(tested, parts, per_cent), "links")
+    links = linked(tested)
     block = 0
     while True:
         release(spark)
@@ -288,12 +293,10 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         open_ = split.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q")
         open_ = table(open_.where(F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m"))) * block < F.col("m")).select("gram"), "open")
         if open_.isEmpty():
-            drop_table(parts)
             drop_table(groups)
             return sets, label
         found = table(candidates(split.join(open_, "gram", "left_semi"), False, block).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        release(spark)
-        links = table(links.unionByName(verify(found, parts, per_cent)), "links")
+        links = table(links.unionByName(linked(found)), "links")
         tested = tested.unionByName(found)
         block += 1
 
