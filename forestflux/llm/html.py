@@ -83,11 +83,14 @@ class _Builder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # open elements by tag, so that none is looked for in vain
         self.head: Node | None = None
         self.in_head = False
 
     def _close(self, ends: frozenset, stops: frozenset) -> None:
         """Closes the open elements of `ends` above the nearest of `stops`, with all within them."""
+        if not any(self.count.get(t) for t in ends):
+            return
         lowest = None
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
@@ -96,11 +99,17 @@ class _Builder:
             elif tag in stops:
                 break
         if lowest is not None:
-            del self.open[lowest:]
+            self._cut(lowest)
+
+    def _cut(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.count[node.tag] -= 1
+        del self.open[at:]
 
     def _enter(self, node: Node) -> None:
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
 
     def text(self, text: str) -> None:
         if self.in_head and self.open[-1].tag == "head" and text.strip():
@@ -123,15 +132,14 @@ class _Builder:
         if tag in _CLOSES_P:
             self._close(frozenset(("p",)), _SCOPE)
         if tag in _HEADINGS and self.open[-1].tag in _HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag == "a":
             self._close(frozenset(("a",)), _SCOPE | _BLOCK)
         if tag in _ENDS:
             self._close(*_ENDS[tag])
         if tag in _CELLS or tag == "tr" or tag in _SECTIONS:
             here = self.open[-1].tag
-            in_table = any(n.tag == "table" for n in self.open)
-            if in_table and tag in _CELLS and here in ("table", *_SECTIONS):
+            if self.count.get("table") and tag in _CELLS and here in ("table", *_SECTIONS):
                 self._enter(Node("tr", {}))
         node = Node(tag, attrs)
         if tag in _VOID or (empty and tag not in _BLOCK and tag not in _RAW and tag not in _CELLS):
@@ -149,15 +157,16 @@ class _Builder:
             return
         wanted = _HEADINGS if tag in _HEADINGS else frozenset((tag,))
         stops = frozenset(("html",)) if tag in ("table", "template", "head") else frozenset(("table", "html")) if tag in _CELLS or tag in _SECTIONS or tag in ("tr", "caption") else _SCOPE if tag in _BLOCK else _SCOPE | _BLOCK
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in wanted:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stops:
-                break
+        if any(self.count.get(t) for t in wanted):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in wanted:
+                    self._cut(i)
+                    return
+                if self.open[i].tag in stops:
+                    break
         if tag == "p":
             self._enter(Node("p", {}))
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
 
 def parse(html: str) -> Node:
