@@ -118,6 +118,15 @@ def _rss(v: Column, low: int, high: int, slope: str, intercept: str) -> Column:
     return out
 
 
+def _f_ratio(a: Column, b: Column) -> Column:
+    """a / b; a perfect fit (b is 0) is infinitely better if there was anything to explain, else unknown."""
+    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(a > 0, F.lit(float("inf")))
+
+
+def _p_value(f: Column, cdf) -> Column:
+    return F.when(f == float("inf"), 0.0).otherwise(1.0 - cdf(f))
+
+
 def change_points(df: DataFrame, value: str = "agb", keys=CELL, f_threshold: float = CHANGE_F_THRESHOLD, p_threshold: float = CHANGE_P_THRESHOLD) -> DataFrame:
     """Break detection in series of exactly seven yearly values.
 
@@ -144,15 +153,16 @@ def change_points(df: DataFrame, value: str = "agb", keys=CELL, f_threshold: flo
     both = {f"b{k}": F.col(f"r0{k}") + F.col(f"r{k}7") for k in range(1, 7)}
     rows = rows.withColumns(both)
     # two lines (4 parameters) against one (2)
-    f = {f"f{k}": safe_div((F.col("r07") - F.col(f"b{k}")) / 2.0, F.col(f"b{k}") / 3.0) for k in range(1, 7)}
+    f = {f"f{k}": _f_ratio((F.col("r07") - F.col(f"b{k}")) / 2.0, F.col(f"b{k}") / 3.0) for k in range(1, 7)}
     rows = rows.withColumns(f)
     rows = rows.withColumn("max_f", F.greatest(*[F.col(f"f{k}") for k in range(1, 7)]))
     where = F.coalesce(*[F.when(F.col(f"f{k}") == F.col("max_f"), F.lit(k)) for k in range(1, 7)])
     rows = rows.withColumn("breakpoint", F.when(true(F.col("max_f") > f_threshold), where))
     best = F.coalesce(*[F.when(F.col("breakpoint") == k, F.col(f"b{k}")) for k in range(1, 7)])
-    two = F.greatest(safe_div((F.col("tss") - best) / 3.0, best / 3.0), F.lit(0.0))
-    one = F.greatest(safe_div(F.col("tss") - F.col("r07"), F.col("r07") / 5.0), F.lit(0.0))
-    rows = rows.withColumn("pvalue", F.when(F.col("breakpoint").isNotNull(), 1.0 - f_cdf_3_3(two)).otherwise(1.0 - f_cdf_1_5(one)))
+    two = clip(_f_ratio((F.col("tss") - best) / 3.0, best / 3.0), low=0.0)
+    one = clip(_f_ratio(F.col("tss") - F.col("r07"), F.col("r07") / 5.0), low=0.0)
+    rows = rows.withColumns({"f_two": two, "f_one": one})
+    rows = rows.withColumn("pvalue", F.when(F.col("breakpoint").isNotNull(), _p_value(F.col("f_two"), f_cdf_3_3)).otherwise(_p_value(F.col("f_one"), f_cdf_1_5)))
 
     def at(i: int) -> Column:
         line = lambda a, b: F.col(f"c{a}{b}") + F.col(f"m{a}{b}") * F.lit(float(i))
