@@ -248,20 +248,34 @@ def _pairs(per_cent: int, first_round: bool, block: int):
     return run
 
 
-def verify(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted per fragment and summed."""
+def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs' rows with, for every fragment of parts, the overlap and both sides' n-grams in it."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    overlaps = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    joined = pairs.join(left, "a").join(right, ["b", "fragment"])
+    found = joined.select(*pairs.columns, "fragment", F.size(F.array_intersect("ga", "gb")).alias("overlap"), F.size("ga").alias("part_a"), F.size("gb").alias("part_b"))
     # repeated rows of one document give a fragment twice, with equal counts
-    once = overlaps.groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("overlap").alias("overlap"))
-    summed = once.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return summed.where((100 + per_cent) * F.col("overlap") >= per_cent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    return found.groupBy(*pairs.columns, "fragment").agg(*[F.max(c).alias(c) for c in ("overlap", "part_a", "part_b")])
+
+
+def verify(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted per fragment and summed.
+
+    The first fragment goes first, as a pair whose count there cannot be made up for by all the others needs none of them.
+    """
+    enough = lambda count: (100 + per_cent) * count >= per_cent * (F.col("size_a") + F.col("size_b"))
+    first = _overlaps(pairs.select("a", "b", "size_a", "size_b"), parts.where("fragment = 0"))
+    most = F.col("overlap") + F.least(F.col("size_a") - F.col("part_a"), F.col("size_b") - F.col("part_b"))
+    open_ = table(first.where(enough(most)).select("a", "b", "size_a", "size_b", F.col("overlap").alias("so_far")), "open")
+    rest = _overlaps(open_, parts.where("fragment > 0")).groupBy("a", "b", "size_a", "size_b", "so_far").agg(F.sum("overlap").alias("overlap"))
+    return rest.where(enough(F.col("so_far") + F.col("overlap"))).select("a", "b")
 
 
 def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, ord, key, n_shingles, node) of all documents, and (node, root) of all nodes that are linked with others."""
     spark = docs.sparkSession
+    if fragments < 2:
+        raise ValueError("two fragments at least")
     rows, total = text_bytes(docs)
     sets = table(document_sets(docs, n), "sets")
     common = common_shingles(docs, n, rows, total)
