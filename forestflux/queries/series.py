@@ -347,10 +347,10 @@ def d21(spark, d):
     return out.select("segment", *[F.round(c, 3).alias(c) for c in ("bias", "mae", "rmse")], F.round("r2", 5).alias("r2"), "n")
 
 
-@query("d22_threshold_sweep", f"select threshold, segment, priority, round(avg(p - y), 3) bias, round(avg(abs(p - y)), 3) mae, count(*) n from ({_PAIRS}), (select unnest([0, 10, 20]) threshold) where shots >= threshold group by grouping sets ((threshold), (threshold, segment), (threshold, segment, priority))")
+@query("d22_threshold_sweep", f"select threshold, segment, priority, round(avg(p - y), 2) bias, round(avg(abs(p - y)), 2) mae, count(*) n from ({_PAIRS}), (select unnest([0, 10, 20]) threshold) where shots >= threshold group by grouping sets ((threshold), (threshold, segment), (threshold, segment, priority))")
 def d22(spark, d):
     out = aggregate.threshold_sweep(_pairs(spark, d), "shots", [0, 10, 20], "y", "p", ["segment", "priority"])
-    return out.select("threshold", "segment", "priority", F.round("bias", 3).alias("bias"), F.round("mae", 3).alias("mae"), "n")
+    return out.select("threshold", "segment", "priority", F.round("bias", 2).alias("bias"), F.round("mae", 2).alias("mae"), "n")
 
 
 @query("d23_weighted_scores", "select round(sum(avg_price * n) / sum(n), 4) score from (select o_orderpriority, avg(o_totalprice) avg_price, count(*) n from orders group by 1)")
