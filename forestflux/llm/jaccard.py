@@ -33,7 +33,7 @@ N, PER_CENT = 4, 85
 FRAGMENTS = 4
 #: An n-gram is ranked by its frequency if more than one in so many documents has it (and at least COMMON_LEAST have).
 COMMON_SHARE, COMMON_LEAST = 4000, 32
-SLICE_BYTES, BUCKET_ROWS = 2 << 20, 1 << 20
+SLICE_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20
 #: Pairs that one n-gram may bring up in one round; the rest follow in further rounds.
 ROUND_PAIRS = 1 << 21
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_texts, blank_table, drop_table, gram_hashes, joined, mix64, range_hashes, release, slices, table, text_bytes, word_spans
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
 #: Anchors that meet in one group of the first shuffle, and contexts in one of the second.
 BUCKET_ANCHORS, BUCKET_CONTEXTS = 1 << 20, 1 << 16
 WORD_BYTES = 5
