@@ -62,6 +62,28 @@ def test_one_stays(docs):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(want)
 
 
+def test_pipeline_stage(spark):
+    """The stage links from 0.8 of five-word n-grams on: scattered edits and replaced ends around 0.8 and 0.85, against brute force."""
+    import corpus_pipeline as pipeline
+
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for _ in range(20):
+        text = [word() for _ in range(r.randint(60, 200))]
+        scattered = list(text)
+        for _ in range(max(1, len(text) // 50)):
+            scattered[r.randrange(len(text))] = word()
+        cut = round(len(text) * r.uniform(0.06, 0.13))
+        for x in (text, scattered, text[:-cut] + [word() for _ in range(cut)], text + [word() for _ in range(2 * cut)]):
+            rows.append((len(rows), " ".join(x)))
+    wide, narrow = ({i for i, _, c in brute(rows, n, t) if i == c} for n, t in ((5, 80), (4, 85)))
+    assert len(narrow - wide) > 5
+    stage = dict(pipeline.STAGES)["n-gram Jaccard join"]
+    kept = stage(spark, documents(spark, [(i, t, "en", "a") for i, t in rows]), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(wide)
+
+
 def test_empty_table(docs):
     assert jaccard.near_components(docs[0].limit(0)).count() == 0
 
