@@ -25,9 +25,10 @@ from .common import table
 WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Names of the transformed statistics and the least standard deviation that any group is taken to have in each (thousandths).
 STATS = ("word_length", "symbols", "dup_lines", "repeats", "length")
-FLOORS = (60.0, 500.0, 700.0, 1000.0, 1000.0)
+#: The least step of the three shares, in counts or words (one symbol, one repeated line, one window), and its variance as a part of the
+#: step's square: a count that is none or one by chance, and a length that is rounded evenly to windows.
+COUNTED = {1: (1, 1 / 4), 2: (1, 1 / 4), 3: (WINDOW, 1 / 12)}
 #: Share of a group in the concentrated subset, and what its scatter is multiplied by to fit all of a normal group (5 dimensions).
 SHARE, CONSISTENCY = 0.75, 1.41
 #: The 0.99999 quantile of chi-square with 5 degrees of freedom.
@@ -79,6 +80,19 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "lang", "source", n.alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"))
 
 
+def _error(i: int, log_words: Column) -> Column:
+    """Variance of statistic i from counting alone, in a text with so many words (as q4 has them): the least scatter of any group.
+
+    A share has the error of its least step from nought; mean word length that of a mean over words whose lengths vary by half; length
+    that of a count.
+    """
+    n = F.exp(log_words / 1000)
+    if i in COUNTED:
+        step, part = COUNTED[i]
+        return F.pow(1000 * F.log(1 + 100 * step / n), 2) * part
+    return 1e6 * (0.25 if i == 0 else 1.0) / n
+
+
 def _quantised() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     per_cent = lambda c: F.log(1 + 100 * F.col(c) / n)
@@ -99,11 +113,13 @@ def _finish(moments: DataFrame, keys: list[str]) -> DataFrame:
             df = df.withColumn(f"v{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
     inverse = [sum((F.col(f"v{k}{i}") * F.col(f"v{k}{j}") for k in range(max(i, j), _N)), F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS]
     logdet = sum((F.log(f"l{i}{i}") for i in range(_N)), F.lit(0.0))
-    return df.select(*keys, *[f"m{i}" for i in range(_N)], *inverse, (2 * logdet).alias("logdet"))
+    return df.select(*keys, *[f"m{i}" for i in range(_N)], *inverse, *[f"c{i}{i}" for i in range(_N)], (2 * logdet).alias("logdet"))
 
 
 def _distance() -> Column:
-    z = [F.col(f"q{i}") - F.col(f"m{i}") for i in range(_N)]
+    """Squared distance from the group. A shorter text than the group's typical one has a larger counting error: its deviations count as much less."""
+    more = [F.greatest(_error(i, F.col("q4")) - _error(i, F.col("m4")), F.lit(0.0)) for i in range(_N)]
+    z = [(F.col(f"q{i}") - F.col(f"m{i}")) / F.sqrt(1 + more[i] / F.col(f"c{i}{i}")) for i in range(_N)]
     return sum((z[i] * z[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
 
 
@@ -118,7 +134,7 @@ def _moments(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
     cov = []
     for i, j in _PAIRS:
         c = (F.col(f"s{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n)) * scale
-        cov.append((c + FLOORS[i] ** 2 if i == j else c).alias(f"c{i}{j}"))
+        cov.append((c + _error(i, F.col("s4") / n) if i == j else c).alias(f"c{i}{j}"))
     return sums.select(*keys, *mean, *cov)
 
 
@@ -137,7 +153,7 @@ def _medians(rows: DataFrame) -> DataFrame:
     found = middle(off, "off", "mad").groupBy("g", "k").agg(F.first("median").alias("median"), F.first("mad").alias("mad"))
     pick = lambda i, c: F.max(F.when(F.col("k") == i, F.col(c))).cast("double")
     wide = found.groupBy("g").agg(*[pick(i, "median").alias(f"m{i}") for i in range(_N)], *[pick(i, "mad").alias(f"d{i}") for i in range(_N)])
-    scatter = [(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    scatter = [(F.pow(1.4826 * F.col(f"d{i}"), 2) + _error(i, F.col("m4")) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
     return wide.select("g", F.lit("median").alias("start"), *[f"m{i}" for i in range(_N)], *scatter)
 
 

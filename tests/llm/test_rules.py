@@ -50,6 +50,23 @@ def test_estimates_match_numpy_and_reject_outliers(spark):
     assert far.count() == 300 and far.where("q1 > 1000").count() == 300
 
 
+def test_repetition_in_a_clean_group(spark):
+    """Many repeated lines or words are far from a group that has none, one repeated line or symbol is not, however short the text."""
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefghij"), r.integers(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    clean = [text(int(np.exp(r.normal(5.5, 0.5)))) for _ in range(300)]
+    lines = lambda n: "\n".join(f"{text(4)}\nok" for _ in range(n // 5))
+    passage = text(40)
+    far = [lines(100), lines(400), f"{text(110)} {passage} {text(100)} {passage}"]
+    near = [f"{text(60)}\nok\n{text(60)}\nok", f"{text(11)}\nok\n{text(11)}\nok", text(24) + " #", text(20)]
+    texts = [*clean, *far, *near]
+    got = {x.doc_id: x for x in quality.judge(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    kept = [got[i].kept for i in range(len(texts))]
+    assert not any(x.base_failed for x in got.values())
+    assert kept[300:] == [False] * len(far) + [True] * len(near) and sum(kept[:300]) >= 298
+
+
 def test_empty_quality(docs):
     assert quality.judge(docs[0].limit(0)).count() == 0
 
