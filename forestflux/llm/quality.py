@@ -10,9 +10,10 @@ Only DataFrame functions run here. A step needs no sort of a group and no row li
 map-side combining, so that a source with a third of all rows costs no single task more than its share, and the subset is made of
 whole bins. All sums are of whole numbers, so results don't depend on the order of rows.
 
-Defined cases: a null or empty text has no words and fails the base rule; null languages and sources are groups of their own; groups
-under `least` documents are judged together as one, and kept if even that has fewer; repeated rows count as often as they occur; other
-columns are not read; an empty table gives an empty result.
+Defined cases: a null or empty text has no words and fails the base rule; null languages and sources are groups of their own; a group
+under `least` documents is judged by the estimate of all documents of its language, and where those are fewer by that of all documents;
+if even these are fewer, nothing is judged and all are kept; repeated rows count as often as they occur; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ COUNTED = {1: (1, 1 / 4), 2: (1, 1 / 4), 3: (WINDOW, 1 / 12)}
 SHARE, CONSISTENCY = 0.75, 1.41
 #: The 0.99999 quantile of chi-square with 5 degrees of freedom.
 CUTOFF = 30.86
-STEPS, LEAST = 5, 100
+#: LEAST: an estimate is made from ten times the dimension on.
+STEPS, LEAST = 5, 50
 _BINS = 32.0
 _N = len(STATS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
@@ -176,18 +178,23 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, small:
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, **options) -> DataFrame:
     """(doc_id, the base statistics, base_failed, distance, kept) for every row; distance is null where none was computed."""
-    keyed = base_statistics(docs).withColumn("g", F.to_json(F.struct("lang", "source")))
+    keyed = base_statistics(docs).withColumn("l", F.to_json(F.struct("lang"))).withColumn("g", F.to_json(F.struct("lang", "source")))
     stats = table(keyed.drop("lang", "source"), "quality-stats")
-    groups = table(stats.where("not base_failed").groupBy("g").agg(F.count(F.lit(1)).alias("n_group")), "quality-groups")
-    n = groups.count()
+    groups = table(stats.where("not base_failed").groupBy("l", "g").agg(F.count(F.lit(1)).alias("n_g")), "quality-groups")
+    n, n_all = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_g"), F.lit(0))).first()
     small = n <= 20_000
     hint = F.broadcast if small else (lambda x: x)
-    large = groups.where(F.col("n_group") >= least).withColumn("own", F.col("g"))
-    rest = groups.where(F.col("n_group") < least).select("g", F.sum("n_group").over(Window.partitionBy(F.lit(1))).alias("n_group"), F.lit("").alias("own"))
-    names = table(large.unionByName(rest), "quality-names")
-    rows = stats.join(hint(names), "g", "left").withColumn("g", F.col("own")).drop("own").withColumns({f"q{i}": c for i, c in enumerate(_quantised())})
-    judged = rows.where((~F.col("base_failed")) & (F.col("n_group") >= least))
-    found = estimates(judged.select("g", "n_group", *[f"q{i}" for i in range(_N)]), small=small, **options)
+    # the keys of the three steps, all told apart by their first letter
+    steps = [(F.concat(F.lit("g"), "g"), F.col("n_g")), (F.concat(F.lit("l"), "l"), F.col("n_l")), (F.lit("all"), F.lit(n_all))]
+    own = F.coalesce(*[F.when(count >= least, key) for key, count in steps])
+    names = groups.join(groups.groupBy("l").agg(F.sum("n_g").alias("n_l"), F.min("n_g").alias("n_min")), "l").withColumn("own", own)
+    names = table(names, "quality-names")
+    rest = not names.where("own = 'all'").isEmpty()
+    needed = [F.col("n_g") >= least, (F.col("n_min") < least) & (F.col("n_l") >= least), F.lit(rest)]
+    feeds = F.array_compact(F.array(*[F.when(need, F.struct(key.alias("g"), count.cast("long").alias("n_group"))) for (key, count), need in zip(steps, needed)]))
+    rows = stats.join(hint(names.select("g", "own", feeds.alias("feeds"))), "g", "left").withColumn("g", F.col("own")).drop("own", "l").withColumns({f"q{i}": c for i, c in enumerate(_quantised())})
+    judged = rows.where(~F.col("base_failed")).select(F.explode("feeds").alias("feed"), *[f"q{i}" for i in range(_N)]).select("feed.*", *[f"q{i}" for i in range(_N)])
+    found = estimates(judged, small=small, **options)
     out = rows.join(hint(found), "g", "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = (~F.col("base_failed")) & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)

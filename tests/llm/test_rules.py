@@ -67,6 +67,18 @@ def test_repetition_in_a_clean_group(spark):
     assert kept[300:] == [False] * len(far) + [True] * len(near) and sum(kept[:300]) >= 298
 
 
+def test_small_groups_fall_back(spark):
+    """Small groups are judged by their language, rare languages by all: a text full of repeated lines is rejected in both."""
+    r = np.random.default_rng(6)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefghij"), r.integers(2, 9))) for _ in range(n))
+    far = "\n".join(f"{text(4)}\nok" for _ in range(60))
+    rows = [(i, text(int(r.integers(100, 300))), "de", f"s{i % 4}") for i in range(60)]
+    rows += [(100, far, "de", "s1"), (101, text(150), "fr", "s1"), (102, far, "fr", None), (103, text(150), None, None)]
+    got = {x.doc_id: x for x in quality.judge(documents(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(x.distance is not None for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {100, 102}
+
+
 def test_empty_quality(docs):
     assert quality.judge(docs[0].limit(0)).count() == 0
 
