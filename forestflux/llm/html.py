@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(
-    r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    r"""<(?:!--(?:-?>|.*?--!?>|.*)|[!?][^>]*>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|$)|/[^>]*>)""",
     re.S,
 )

@@ -192,6 +192,11 @@ def test_rendering(page, text):
     assert html.extract(page).strip("\n") == text.strip("\n")
 
 
+@pytest.mark.parametrize("page", ["a<!-->b<p>c", "a<!--->b<p>c", "a<!-->b<p>c<!-- no -->", "a<!--->b<p>c<!-- no --->"])
+def test_abrupt_comments(page):
+    assert html.extract(page).strip("\n") == "ab\n\nc"
+
+
 def test_depth_and_rows(spark):
     assert html.extract("<div><b>" * 50_000 + "x") == "x"
     pages = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None)], "page_id long, html string")
