@@ -54,16 +54,16 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Deletes a table written by table(), once nothing will read it again."""
+    """Deletes a table that table() returned, once nothing will read it again."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

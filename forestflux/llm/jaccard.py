@@ -1,42 +1,52 @@
 """N-gram Jaccard join with vertical partitioning, and the components of its links.
 
 The global order of n-grams puts rarer ones first (document frequencies are counted over all documents; those over a share of all
-documents are ranked by them, the rest by hash). Pairs with similarity t share an n-gram among the first n - ceil(t n) + 1 of each, so
-candidates are found there, with length and position bounds. The order is cut into fragments; the n-grams of a document in a fragment
-are a row of their own, partial overlaps of candidate pairs are counted fragment by fragment, and the counts are summed per pair.
+documents are ranked by them, the rest by hash). It is cut into fragments, intervals of that order of about equal weight. A document's
+n-grams in a fragment are a row of their own; partial overlaps are counted fragment by fragment and summed per pair.
 
-Equal sets are one node from the start. Of the documents that share a prefix n-gram each is first compared with one leader, so a large
-group of near copies takes as many pairs as members; then all pairs that could link what is not yet connected are compared, in blocks of
-leaders where a group is very large. No link is lost that would change a component.
+Pairs with similarity t share an n-gram among the first n - ceil(t n) + 1 of each, so pairs are looked for among the documents that share
+a prefix n-gram, with length and position bounds. Equal sets are one node from the start. Only what could join two components is looked
+for, so no link is lost that would change one:
+
+1. Of the documents that share a prefix n-gram each is compared with one head. A group of near copies takes as many pairs as members.
+2. In groups that are still not connected, members of different components are compared pair by pair where few of them (SMALL) can be
+   the smaller side of a pair that links.
+3. The members of the others are described by what sets them apart from their head, their deviations. |x ^ y| <= h for sets that link, so
+   |dx & dy| >= (|dx| + |dy| - h) / 2: members that link share most of their deviations, and a prefix of those, rarest first, brings them
+   together. What all members have in common has no weight any more, so the new groups are small, and step 1 starts again with them.
+   Where |dx| + |dy| <= h the sets link whatever they share; one of the two then links with the head, and one such pair is enough.
 
 Words are lower-cased (A-Z) runs of characters other than the six ASCII blanks; n-grams are told apart by 64-bit hashes, sets by 64-bit
 sums of them.
 
 Defined cases: null, empty and blank texts have empty sets and are linked with nothing; texts with fewer words than n have one n-gram,
-all of them; a null doc_id counts as larger than all others; other columns are not read.
+all of them; very long texts are shingled whole, by one task each; a null doc_id counts as larger than all others; repeated rows have
+one set and so one component; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_BYTES, batch_texts, blank_table, drop_table, gram_hashes, joined, mix64, partitions_for, range_hashes, release, slices, table, text_bytes, word_spans
+from .common import MAX_BROADCAST_BYTES, batch_texts, blank_table, drop_table, gram_hashes, joined, mix64, range_hashes, release, slices, table, text_bytes, word_spans
 from .components import components
 from .windows import NO_ID
 
-N, PER_CENT = 4, 85
+N, PER_CENT = 5, 80
 FRAGMENTS = 4
 #: An n-gram is ranked by its frequency if more than one in so many documents has it (and at least COMMON_LEAST have).
 COMMON_SHARE, COMMON_LEAST = 4000, 32
 SLICE_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20
-#: Pairs that one n-gram may bring up in one round; the rest follow in further rounds.
-ROUND_PAIRS = 1 << 21
-
+#: Codes that a counting task holds before it sends their counts, and n-grams in an Arrow batch of segments.
+FLUSH_CODES, BATCH_GRAMS = 4_000_000, 1 << 20
+#: Groups with so many possible smaller sides are compared pair by pair, and all once they take so many pairs for each first entry.
+SMALL, PAIRS_PER_ENTRY = 32, 2
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct n-grams of all texts, in ascending order of both."""
@@ -90,56 +100,105 @@ def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, ord long, key long, n_shingles long, node long")
 
 
-def common_shingles(docs: DataFrame, n: int, rows: int, total_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit codes of the n-grams that many documents have, ascending, and in how many (codes that collide count together).
+@dataclass(frozen=True)
+class Order:
+    """The global order: 32-bit codes of the common n-grams (ascending) and their frequencies, and how it is cut.
 
-    The share is raised until the result fits MAX_BROADCAST_BYTES; it orders n-grams only, so any share gives the same links.
+    The first `rare` fragments are equal ranges of the hashes of all other n-grams, the rest intervals of frequencies that end at `cuts`.
+    """
+
+    codes: np.ndarray
+    documents: np.ndarray
+    rare: int
+    cuts: np.ndarray
+
+    @property
+    def fragments(self) -> int:
+        return self.rare + len(self.cuts) + (len(self.codes) > 0)
+
+    def rank(self, value: np.ndarray) -> np.ndarray:
+        """0 for rare n-grams, else the frequency."""
+        if not len(self.codes):
+            return np.zeros(len(value), np.int64)
+        code = value.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.documents[at], 0)
+
+    def fragment(self, value: np.ndarray) -> np.ndarray:
+        rank = self.rank(value)
+        low = ((value >> np.uint64(32)) * np.uint64(self.rare) >> np.uint64(32)).astype(np.int64)
+        return np.where(rank > 0, self.rare + np.searchsorted(self.cuts, rank, "right"), low)
+
+
+def global_order(docs: DataFrame, n: int, rows: int, total_bytes: int, shingles: int, fragments: int) -> Order:
+    """Counts all n-grams and cuts their order; codes that collide count together.
+
+    The share that counts as common is raised until it fits MAX_BROADCAST_BYTES; it orders n-grams only, so any share gives the same links.
     """
     buckets = max(1, total_bytes // 6 // (2 * BUCKET_ROWS) + 1)
 
+    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        codes, counts = _add_up(*(np.concatenate(x) for x in zip(*held)))
+        bucket = codes % np.uint32(buckets)
+        order = np.argsort(bucket, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
+                "codes": pa.array([codes[p].tobytes() for p in parts], pa.binary()),
+                "counts": pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+            }
+        )
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             texts = batch_texts(batch.column("text"))
             for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
                 codes, counts = np.unique(shingle_sets(texts[a:b], n)[1].astype(np.uint32), return_counts=True)
-                bucket = codes % np.uint32(buckets)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order])) + 1
-                parts = np.split(order, edges) if len(order) else []
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-                        "codes": pa.array([codes[p].tobytes() for p in parts], pa.binary()),
-                        "counts": pa.array([np.minimum(counts[p], 65535).astype(np.uint16).tobytes() for p in parts], pa.binary()),
-                    }
-                )
+                held.append((codes, counts.astype(np.int64)))
+                size += len(codes)
+                if size > FLUSH_CODES:
+                    yield send(held)
+                    held, size = [], 0
+        if size:
+            yield send(held)
 
     def add(group: pa.Table) -> pa.Table:
         codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint32)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint16).astype(np.int64)
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
-        total = np.add.reduceat(counts, heads) if len(heads) else counts
-        keep = total >= least
-        return pa.table({"code": pa.array(codes[heads][keep].astype(np.int64)), "documents": pa.array(total[keep])})
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        codes, counts = _add_up(codes, counts)
+        keep = counts >= least
+        return pa.table({"code": pa.array(codes[keep].astype(np.int64)), "documents": pa.array(counts[keep])})
 
     least = max(COMMON_LEAST, rows // COMMON_SHARE)
     packed = docs.select("text").mapInArrow(emit, "bucket int, codes binary, counts binary")
     found = table(packed.groupBy("bucket").applyInArrow(add, "code long, documents long"), "common")
     while 12 * found.where(F.col("documents") >= least).count() > MAX_BROADCAST_BYTES:
         least *= 2
-    rows_ = found.where(F.col("documents") >= least).orderBy("code").toPandas()
-    return rows_["code"].to_numpy(np.uint32), rows_["documents"].to_numpy(np.int64)
+    common = found.where(F.col("documents") >= least).orderBy("code").toPandas()
+    drop_table(found)
+    documents = common["documents"].to_numpy(np.int64)
+    last = min(fragments - 1, max(1, round(fragments * documents.sum() / max(1, shingles)))) if len(documents) else 0
+    ascending = np.sort(documents)
+    weight = np.cumsum(ascending)
+    cuts = np.unique([ascending[np.searchsorted(weight, weight[-1] * k / last)] for k in range(1, last)]) if last > 1 else np.empty(0, np.int64)
+    return Order(common["code"].to_numpy(np.uint32), documents, fragments - last, cuts)
+
+
+def _add_up(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
-def prefix_groups(docs: DataFrame, n: int, per_cent: int, common: tuple[np.ndarray, np.ndarray], total_bytes: int) -> DataFrame:
-    """(gram, node, size, place) of the prefix n-grams that two or more different sets have."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    buckets = max(1, total_bytes // 30 // BUCKET_ROWS + 1)
+def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
+    """(gram, node, size, place) of the prefix n-grams of all sets; sets that are equal may come more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, documents = shared.value
         for batch in batches:
             texts = batch_texts(batch.column("text"))
             for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
@@ -147,172 +206,192 @@ def prefix_groups(docs: DataFrame, n: int, per_cent: int, common: tuple[np.ndarr
                 if not len(owner):
                     continue
                 size, node = _nodes(owner, value, b - a)
-                _, first = np.unique(node, return_index=True)  # equal sets once a slice
                 once = np.zeros(b - a, bool)
-                once[first] = True
+                once[np.unique(node, return_index=True)[1]] = True  # equal sets once a slice
                 use = once[owner]
                 owner, value = owner[use], value[use]
-                code = value.astype(np.uint32)
-                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-                rank = np.where(codes[at] == code, documents[at], 0) if len(codes) else np.zeros(len(code), np.int64)
-                order = np.lexsort((value, rank, owner))
-                owner, value = owner[order], value[order]
+                by = np.lexsort((value, shared.value.rank(value), owner))
+                owner, value = owner[by], value[by]
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 use = place < _prefix(size, per_cent)[owner]
                 owner, value, place = owner[use], value[use], place[use]
-                bucket = (value % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32())}
-                    | {c: pa.array([x[p].tobytes() for p in parts], pa.binary()) for c, x in (("gram", value), ("node", node[owner]), ("size", size[owner].astype(np.int32)), ("place", place.astype(np.int32)))}
-                )
-
-    def meet(group: pa.Table) -> pa.Table:
-        gram, node, size, place = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("gram", np.int64), ("node", np.int64), ("size", np.int32), ("place", np.int32)))
-        order = np.lexsort((node, gram))
-        gram, node, size, place = gram[order], node[order], size[order], place[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-        gram, node, size, place = gram[new], node[new], size[new], place[new]
-        twin = np.zeros(len(gram), bool)
-        twin[1:] = gram[1:] == gram[:-1]
-        twin[:-1] |= twin[1:]
-        return pa.table({"gram": pa.array(gram[twin]), "node": pa.array(node[twin]), "size": pa.array(size[twin]), "place": pa.array(place[twin])})
-
-    packed = docs.select("text").mapInArrow(emit, "bucket int, gram binary, node binary, size binary, place binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "gram long, node long, size int, place int")
-
-
-def segments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, fragments: int) -> DataFrame:
-    """(node, fragment, grams) of the wanted nodes, each from the document with the least id that has its set."""
-    owners = sets.where("n_shingles > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ord", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(owners, "key").select("node", "text")
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(node[owner]), pa.array(size[owner].astype(np.int32)), pa.array(place.astype(np.int32))], names=["gram", "node", "size", "place"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, texts = np.array(batch.column("node").to_pylist(), np.int64), batch_texts(batch.column("text"))
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES // 2):
-                owner, value = shingle_sets(texts[a:b], n)
-                cell = owner * fragments + ((value >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-                edges = np.searchsorted(cell, np.arange((b - a) * fragments + 1))
-                grams = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(nodes[a:b], fragments)), "fragment": pa.array(np.tile(np.arange(fragments, dtype=np.int32), b - a)), "grams": grams})
+    return docs.select("text").mapInArrow(emit, "gram long, node long, size int, place int")
 
-    return rows.mapInArrow(run, "node long, fragment int, grams array<long>")
 
+def node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, each from the document with the least id that has its set."""
+    owners = sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ord", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(owners, "key")
+    return rows.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
 
-_PAIR = "a long, b long, size_a int, size_b int"
 
+def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order) -> DataFrame:
+    """(peer, fragment, node, size, grams): the n-grams of every node of peers (node, peers), by fragment, once for each of its peers."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+    rows = texts.join(peers, "node").select("node", "text", "peers")
 
-def _pairs(per_cent: int, first_round: bool, block: int):
-    """For groups of (gram, node, size, place, part): pairs of nodes in different parts that pass the length and position bounds."""
-
-    def run(group: pa.Table) -> pa.Table:
-        gram, node, size, place, part = (np.asarray(group.column(c).combine_chunks()).astype(np.int64) for c in ("gram", "node", "size", "place", "part"))
-        order = np.lexsort((node, size, gram))
-        gram, node, size, place, part = gram[order], node[order], size[order], place[order], part[order]
-        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        ends = np.append(heads[1:], len(gram))
-        of = np.repeat(np.arange(len(heads)), ends - heads)
-        found = []
-
-        def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Which pairs can link; j has the larger sets."""
-            need = (per_cent * (size[i] + size[j]) + 99 + per_cent) // (100 + per_cent)
-            bound = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
-            return (part[i] != part[j]) & (100 * size[i] >= per_cent * size[j]) & (bound >= need)
-
-        rank = np.arange(len(gram)) - heads[of]
-        if first_round:
-            i, j = heads[of], np.arange(len(gram))
-            use = (rank > 0) & check(i, j)
-            found.append((i[use], j[use]))
-        else:
-            width = np.maximum(1, ROUND_PAIRS // np.maximum(1, ends - heads))[of]
-            i = np.flatnonzero((rank >= block * width) & (rank < (block + 1) * width))
-            step = 1
-            while len(i):
-                i = i[i + step < ends[of[i]]]
-                i = i[100 * size[i] >= per_cent * size[i + step]] if len(i) else i  # sizes ascend: no later one fits either
-                use = check(i, i + step)
-                found.append((i[use], i[use] + step))
-                step += 1
-        i, j = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0, return_index=True) if len(i) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
-        at = pairs[1]
-        swap = node[i[at]] > node[j[at]]
-        sa, sb = np.where(swap, size[j[at]], size[i[at]]), np.where(swap, size[i[at]], size[j[at]])
-        return pa.table({"a": pa.array(pairs[0][:, 0]), "b": pa.array(pairs[0][:, 1]), "size_a": pa.array(sa.astype(np.int32)), "size_b": pa.array(sb.astype(np.int32))})
-
-    return run
-
-
-def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs' rows with, for every fragment of parts, the overlap and both sides' n-grams in it."""
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    joined = pairs.join(left, "a").join(right, ["b", "fragment"])
-    found = joined.select(*pairs.columns, "fragment", F.size(F.array_intersect("ga", "gb")).alias("overlap"), F.size("ga").alias("part_a"), F.size("gb").alias("part_b"))
-    # repeated rows of one document give a fragment twice, with equal counts
-    return found.groupBy(*pairs.columns, "fragment").agg(*[F.max(c).alias(c) for c in ("overlap", "part_a", "part_b")])
-
-
-def verify(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted per fragment and summed.
-
-    The first fragment goes first, as a pair whose count there cannot be made up for by all the others needs none of them.
-    """
-    enough = lambda count: (100 + per_cent) * count >= per_cent * (F.col("size_a") + F.col("size_b"))
-    first = _overlaps(pairs.select("a", "b", "size_a", "size_b"), parts.where("fragment = 0"))
-    most = F.col("overlap") + F.least(F.col("size_a") - F.col("part_a"), F.col("size_b") - F.col("part_b"))
-    open_ = table(first.where(enough(most)).select("a", "b", "size_a", "size_b", F.col("overlap").alias("so_far")), "open")
-    rest = _overlaps(open_, parts.where("fragment > 0")).groupBy("a", "b", "size_a", "size_b", "so_far").agg(F.sum("overlap").alias("overlap"))
-    return rest.where(enough(F.col("so_far") + F.col("overlap"))).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = shared.value
+        f = cut.fragments
+        for batch in batches:
+            nodes, texts, lists = np.asarray(batch.column("node")), batch_texts(batch.column("text")), batch.column("peers")
+            copies = np.asarray(lists.value_lengths()).astype(np.int64)
+            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES // 2):
+                owner, value = shingle_sets(texts[a:b], n)
+                cell = owner * f + cut.fragment(value)
+                by = np.argsort(cell, kind="stable")
+                cell, value = cell[by], value[by].view(np.int64)
+                edges = np.searchsorted(cell, np.arange((b - a) * f + 1))
+                size = np.diff(edges[::f])
+                doc = np.repeat(np.arange(b - a), copies[a:b])
+                peer = np.asarray(lists.slice(a, b - a).flatten())
+                for i, j in slices(size[doc], BATCH_GRAMS):
+                    row = np.repeat(doc[i:j], f) * f + np.tile(np.arange(f), j - i)
+                    length = edges[row + 1] - edges[row]
+                    ends = np.cumsum(length)
+                    at = np.repeat(edges[row] - ends + length, length) + np.arange(ends[-1])
+                    grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(value[at]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(peer[i:j], f)), pa.array((row % f).astype(np.int32)), pa.array(nodes[a:b][row // f]), pa.array(size[row // f].astype(np.int32)), grams],
+                        names=["peer", "fragment", "node", "size", "grams"],
+                    )
+
+    return rows.mapInArrow(run, "peer long, fragment int, node long, size int, grams array<long>")
+
+
+def _side_by_side(pairs: DataFrame, texts: DataFrame, n: int, order: Order) -> DataFrame:
+    """(a, b, fragment, size_a, size_b, ga, gb) of the pairs (a, b); the sets of b move to those of a, which may be hot and are split then."""
+    b = segments(texts, pairs.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("peers")), n, order)
+    a = segments(texts, pairs.select(F.col("a").alias("node")).distinct().withColumn("peers", F.array("node")), n, order)
+    b = b.select(F.col("peer").alias("a"), "fragment", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("gb"))
+    return b.join(a.select(F.col("node").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("grams").alias("ga")), ["a", "fragment"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted per fragment and summed."""
+    counts = _side_by_side(pairs, texts, n, order).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    total = counts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
+    return total.where((100 + per_cent) * F.col("overlap") >= per_cent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def _most_apart(per_cent: int, sizes: Column) -> Column:
+    """|x ^ y| of sets that link, at most; sizes: |x| + |y|."""
+    return F.floor((100 - per_cent) * sizes / F.lit(100 + per_cent))
+
+
+def _may_link(x: str, y: str, per_cent: int) -> Column:
+    """Whether two members of a group can link that share its gram, and none before it, by size and place."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    left = lambda side: c(side, "dev") - c(side, "place")
+    close = 100 * F.least(c(x, "size"), c(y, "size")) >= per_cent * F.greatest(c(x, "size"), c(y, "size"))
+    return close & (2 * F.least(left(x), left(y)) >= c(x, "dev") + c(y, "dev") - _most_apart(per_cent, c(x, "size") + c(y, "size")))
+
+
+def _heads() -> Column:
+    """The member of a gram's group that all others are compared with: that with the fewest rarer n-grams, so the least of its own."""
+    return F.min(F.struct("place", F.xxhash64("node").alias("h"), "node", "size", "dev", "part")).alias("head")
+
+
+def _smaller_side(per_cent: int) -> Column:
+    """Whether an entry can be that of the member with fewer deviations in a pair that links."""
+    return 2 * F.col("place") <= _most_apart(per_cent, F.col("size") + F.floor(100 * F.col("size") / F.lit(per_cent)))
+
+
+def _of_use(entries: DataFrame, per_cent: int) -> DataFrame:
+    """The entries that can bring up a pair of different parts, with their group's head, and its count `few` of possible smaller sides."""
+    most = _most_apart(per_cent, F.col("size") + F.floor(100 * F.col("size") / F.lit(per_cent)))
+    sides = entries.withColumn("smaller", _smaller_side(per_cent))
+    least = sides.where("smaller").groupBy("gram").agg(F.min("dev").alias("least"))
+    sides = sides.join(least, "gram").where(F.col("smaller") | (F.col("dev") - 2 * F.col("place") + most >= F.col("least"))).drop("least")
+    groups = sides.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.col("smaller").cast("int")).alias("few"), _heads()).where("p <> q").drop("p", "q")
+    return sides.join(groups, "gram")
+
+
+def deviations(members: DataFrame, texts: DataFrame, n: int, per_cent: int, order: Order) -> tuple[DataFrame, DataFrame]:
+    """For members b of heads a, rows (a, b, part): new groups (gram, node, size, dev, place, part) by deviations, and pairs that link by |dx| + |dy|."""
+    apart = _side_by_side(members, texts, n, order).select("a", "b", "size_a", "size_b", F.explode(F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))).alias("g"))
+    apart = table(apart, "apart")
+    often = apart.groupBy("a", "g").agg(F.count(F.lit(1)).alias("c"))
+    each = apart.join(often, ["a", "g"]).groupBy("a", "b", "size_a", "size_b").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("devs")).join(members, ["a", "b"])
+    each = table(each.withColumn("dev", F.size("devs")).withColumn("v", (100 + per_cent) * F.col("dev") - (100 - per_cent) * F.col("size_b")), "deviations")
+    drop_table(apart)
+    size = F.col("size_b")
+    most = _most_apart(per_cent, size + F.floor(100 * size / F.lit(per_cent))).cast("int")
+    groups = each.select("a", F.col("b").alias("node"), F.col("size_b").alias("size"), "dev", "part", F.posexplode(F.slice("devs", F.lit(1), most + 1)).alias("place", "d"))
+    groups = groups.where("d.c > 1").select(F.xxhash64("a", "d.g").alias("gram"), "node", "size", "dev", "place", "part")
+    with_head = F.col("v") <= (100 - per_cent) * F.col("size_a")
+    best = each.where(with_head).groupBy("a").agg(F.min(F.struct("v", "b", "part")).alias("best"))
+    sure = each.where(~with_head).join(best, "a").where((F.col("v") + F.col("best.v") <= 0) & (F.col("part") != F.col("best.part")))
+    return groups, sure.select(F.col("best.b").alias("a"), "b", F.col("best.part").alias("pa"), F.col("part").alias("pb"))
+
+
+def _joined_parts(label: DataFrame | None, step: DataFrame) -> DataFrame:
+    """(node, root) after the parts themselves were joined by step (node, root)."""
+    if label is None:
+        return step
+    onto = step.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = label.join(onto, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return table(moved.unionByName(step.join(label, "node", "left_anti")), "labels")
 
 
 def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, ord, key, n_shingles, node) of all documents, and (node, root) of all nodes that are linked with others."""
-    spark = docs.sparkSession
     if fragments < 2:
         raise ValueError("two fragments at least")
+    spark = docs.sparkSession
     rows, total = text_bytes(docs)
     sets = table(document_sets(docs, n), "sets")
-    common = common_shingles(docs, n, rows, total)
-    groups = table(prefix_groups(docs, n, per_cent, common, total), "prefixes")
-    release(spark)
-    buckets = max(1, groups.count() // (BUCKET_ROWS // 4) + 1)
-
-    def candidates(rows: DataFrame, first: bool, block: int) -> DataFrame:
-        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-        return bucketed.groupBy("bucket").applyInArrow(_pairs(per_cent, first, block), _PAIR).distinct()
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only the sets of their nodes are cut and moved."""
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        parts = table(segments(docs, sets, nodes, n, fragments), "segments")
-        out = table(verify(pairs, parts, per_cent), "links")
-        drop_table(parts)
-        release(spark)
-        return out
-
-    tested = table(candidates(groups.withColumn("part", F.col("node")), True, 0), "pairs")
-    links = linked(tested)
-    block = 0
+    shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    order = global_order(docs, n, rows, total, shingles, fragments)
+    first = table(prefixes(docs, n, per_cent, order), "prefixes")
+    several = first.groupBy("gram").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("gram")
+    entries = first.join(several, "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("size").alias("dev"), F.first("place").alias("place"), F.first("node").alias("part"))
+    entries = table(entries, "entries")
+    size = entries.count()
+    drop_table(first)
+    texts = table(node_texts(docs, sets, entries.select("node").distinct()), "texts")
+    label, more = None, spark.createDataFrame([], "a long, b long, pa long, pb long")
+    member = F.struct("node", "size", "dev", "place", "part")
     while True:
+        heads = entries.groupBy("gram").agg(_heads())
+        near = entries.select("gram", member.alias("x")).join(heads, "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
+        near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
+        pairs = table(near.unionByName(more).distinct(), "pairs")
+        links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+        drop_table(pairs)
+        if not links.isEmpty():
+            step = components(links)
+            label = _joined_parts(label, step)
+            entries_ = entries.join(step.select(F.col("node").alias("part"), "root"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+            entries, old = table(entries_, "entries"), entries
+            drop_table(old)
+        drop_table(links)
+        # where all members are connected nothing is left to find
+        open_ = table(_of_use(entries, per_cent), "open")
+        drop_table(entries)
+        left = open_.groupBy("gram").agg(F.sum("few").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        small = F.col("few") <= (SMALL if left > PAIRS_PER_ENTRY * size else left)
+        few = open_.where(small).select("gram", "smaller", member.alias("x"))
+        before = F.struct("x.dev", "x.node") < F.struct("y.dev", "y.node")
+        each = few.where("smaller").join(few.select("gram", F.col("x").alias("y")), "gram").where(before & (F.col("x.part") != F.col("y.part")) & _may_link("x", "y", per_cent))
+        more = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("pa"), F.col("y.part").alias("pb"))
+        large = open_.where(~small & (F.col("node") != F.col("head.node"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"), "part")
+        large = table(large.distinct(), "members")
+        if large.isEmpty():
+            entries = open_.select("gram", "node", "size", "dev", "place", "part").limit(0)
+        else:
+            entries, sure = deviations(large, texts, n, per_cent, order)
+            more = more.unionByName(sure)
+        entries, more = table(entries, "entries"), table(more.distinct(), "more")
+        drop_table(open_)
+        drop_table(large)
         release(spark)
-        label = components(links)
-        split = groups.join(label, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        # n-grams whose sets are all connected have nothing left to find
-        open_ = split.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q")
-        open_ = table(open_.where(F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m"))) * block < F.col("m")).select("gram"), "open")
-        if open_.isEmpty():
-            drop_table(groups)
-            return sets, label
-        found = table(candidates(split.join(open_, "gram", "left_semi"), False, block).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        links = table(links.unionByName(linked(found)), "links")
-        tested = tested.unionByName(found)
-        block += 1
+        if entries.isEmpty() and more.isEmpty():
+            for done in (entries, more, texts):
+                drop_table(done)
+            return sets, label if label is not None else spark.createDataFrame([], "node long, root long")
 
 
 def near_components(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -327,8 +406,19 @@ def near_components(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragm
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each component the row with the least doc_id (of rows with that id the one with the least text), all columns as they are."""
-    kept = near_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return rows.withColumn("__nth", F.row_number().over(first)).where(F.col("doc_id").isNull() | (F.col("__nth") == 1)).drop("__nth")
+    """Of each component the row with the least doc_id (null last; of several the one with the least hash of id and text), as it is.
+
+    Rows are told apart by id and text, so rows that share an id are judged one by one. Of rows that agree in both one stays. Rows with an
+    empty set are in no component and stay.
+    """
+    sets, label = join_documents(docs, **options)
+    part = sets.where("n_shingles > 0").join(label, "node", "left").select(F.coalesce("root", "node").alias("part"), "ord", "key")
+    kept = part.groupBy("part").agg(F.min(F.struct("ord", "key")).alias("m")).select(F.col("m.key").alias("__key"))
+    kept = table(kept, "kept")
+    empty = sets.where("n_shingles = 0").select(F.col("key").alias("__key")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("__key"), F.struct(*columns).alias("__row"))
+    first = F.first if any("map<" in t for _, t in docs.dtypes) else F.min
+    one = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(first("__row").alias("__row"))
+    rest = keyed.join(empty, "__key", "left_semi")
+    return one.unionByName(rest).select("__row.*")

@@ -62,7 +62,7 @@ def op8_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_components(_read(spark, sf_dir, "documents"))
+    return jaccard.near_components(_read(spark, sf_dir, "documents"), n=4, per_cent=85)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pytest
 from conftest_llm import documents
 
 from forestflux.llm import jaccard
@@ -34,14 +36,18 @@ def brute(rows, n=4, t=85):
     return sorted(((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=repr)
 
 
+def ours(df, n=4, t=85):
+    return sorted(map(tuple, jaccard.near_components(df, n=n, per_cent=t).collect()), key=repr)
+
+
 def test_odd_documents(docs):
     df, rows = docs
-    assert sorted(map(tuple, jaccard.near_components(df).collect()), key=repr) == brute(rows)
+    assert ours(df) == brute(rows)
 
 
 def test_chains_of_near_copies(spark, monkeypatch):
-    """Families in which each member differs from the last by a few words, around the threshold; few pairs a round."""
-    monkeypatch.setattr(jaccard, "ROUND_PAIRS", 16)
+    """Families in which each member differs from the last by a few words, around the threshold; groups of three count as large."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
     r = random.Random(3)
     rows = []
     for family in range(6):
@@ -51,15 +57,55 @@ def test_chains_of_near_copies(spark, monkeypatch):
             for _ in range(r.randint(0, 3)):
                 text[r.randrange(len(text))] = f"w{r.randrange(10**6)}"
     df = documents(spark, [(i, t, "en", "a") for i, t in rows])
-    assert sorted(map(tuple, jaccard.near_components(df).collect()), key=repr) == brute(rows)
+    assert ours(df) == brute(rows)
+
+
+@pytest.mark.parametrize("n, t, words", [(4, 85, 10**6), (5, 80, 10**6), (4, 85, 12)])
+def test_large_group_of_near_copies(spark, monkeypatch, n, t, words):
+    """Copies of one text with none to eight edits, most linked with few others or none; with few words, edits recur."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    r = random.Random(n * t)
+    base = [f"w{r.randrange(10**6)}" for _ in range(140)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(r.randint(0, 8)):
+            kind, at = r.random(), r.randrange(len(text))
+            text[at : at + (kind < 0.8)] = [] if kind < 0.2 else [f"w{r.randrange(words)}"]
+        rows.append((i, " ".join(text)))
+    assert ours(documents(spark, [(i, x, "en", "a") for i, x in rows]), n, t) == brute(rows, n, t)
+
+
+def test_fragments_are_intervals_of_the_order():
+    """Every n-gram is in one fragment, and fragments ascend with (rank, hash)."""
+    r = np.random.default_rng(4)
+    value = r.integers(0, (1 << 64) - 1, 5000, np.uint64)
+    codes = np.unique(value[:700].astype(np.uint32))
+    order = jaccard.Order(codes, r.integers(40, 900, len(codes)), 3, np.array([200, 400]))
+    rank = order.rank(value)
+    assert order.fragments == 6 and (rank[:700] > 0).all()
+    by = np.lexsort((value, rank))
+    assert (np.diff(order.fragment(value)[by]) >= 0).all() and set(order.fragment(value)) == set(range(6))
 
 
 def test_one_stays(docs):
+    """By rows: of each group of linked rows one, that with the least id."""
     df, rows = docs
-    kept = jaccard.keep_one(df)
+    kept = jaccard.keep_one(df, n=4, per_cent=85)
     assert kept.columns == df.columns
     want = {i for i, _, c in brute(rows) if i is not None and i == c}
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(want)
+    assert kept.where("doc_id is null").count() == 1  # the null text; the other null id is a copy of document 6
+
+
+def test_one_stays_with_odd_ids(spark):
+    """Null and repeated ids: rows are judged by id and text, not by id alone."""
+    a, x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "axy")
+    df = documents(spark, [(None, a, "en", "a"), (None, a + " more", "en", "a"), (7, x, "en", "a"), (7, y, "en", "a"), (8, y, "en", "a"), (9, "", "en", "a"), (9, "", "en", "a")]).withColumnRenamed("g", "a.b")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    found = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert len(found) == 5 and found[0][1] in (a, a + " more") and found[1:] == [(7, x), (7, y), (9, ""), (9, "")]
 
 
 def test_pipeline_stage(spark):
@@ -86,6 +132,7 @@ def test_pipeline_stage(spark):
 
 def test_empty_table(docs):
     assert jaccard.near_components(docs[0].limit(0)).count() == 0
+    assert jaccard.keep_one(docs[0].limit(0)).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
