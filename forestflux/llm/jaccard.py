@@ -1,7 +1,7 @@
 """N-gram Jaccard join with vertical partitioning, and the components of its links.
 
-The global order of n-grams puts rarer ones first (document frequencies are counted over all documents; those over a share of all
-documents are ranked by them, the rest by hash). It is cut into fragments, intervals of that order of about equal weight. A document's
+The global order of n-grams puts rarer ones first (document frequencies are counted over all documents; the common ones are
+ranked by them, the rest by hash). It is cut into fragments, intervals of that order of about equal weight. A document's
 n-grams in a fragment are a row of their own; partial overlaps are counted fragment by fragment and summed per pair.
 
 Pairs with similarity t share an n-gram among the first n - ceil(t n) + 1 of each, so pairs are looked for among the documents that share
@@ -40,13 +40,13 @@ from .windows import NO_ID
 
 N, PER_CENT = 5, 80
 FRAGMENTS = 4
-#: An n-gram is ranked by its frequency if more than one in so many documents has it (and at least COMMON_LEAST have).
-COMMON_SHARE, COMMON_LEAST = 4000, 32
+#: An n-gram is ranked by its frequency if so many documents have it.
+COMMON_LEAST = 32
 SLICE_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20
 #: Codes that a counting task holds before it sends their counts, and n-grams in an Arrow batch of segments.
 FLUSH_CODES, BATCH_GRAMS = 4_000_000, 1 << 20
-#: Groups with so many possible smaller sides are compared pair by pair, and all once they take so many pairs for each first entry.
-SMALL, PAIRS_PER_ENTRY = 32, 2
+#: Groups with so many possible smaller sides are compared pair by pair, and larger ones while they take so many pairs for each first entry.
+SMALL, PAIRS_PER_ENTRY = 32, 1
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct n-grams of all texts, in ascending order of both."""
@@ -130,10 +130,10 @@ class Order:
         return np.where(rank > 0, self.rare + np.searchsorted(self.cuts, rank, "right"), low)
 
 
-def global_order(docs: DataFrame, n: int, rows: int, total_bytes: int, shingles: int, fragments: int) -> Order:
+def global_order(docs: DataFrame, n: int, total_bytes: int, shingles: int, fragments: int) -> Order:
     """Counts all n-grams and cuts their order; codes that collide count together.
 
-    The share that counts as common is raised until it fits MAX_BROADCAST_BYTES; it orders n-grams only, so any share gives the same links.
+    The frequency that counts as common is raised until all fit MAX_BROADCAST_BYTES; it orders n-grams only, so any gives the same links.
     """
     buckets = max(1, total_bytes // 6 // (2 * BUCKET_ROWS) + 1)
 
@@ -171,7 +171,7 @@ def global_order(docs: DataFrame, n: int, rows: int, total_bytes: int, shingles:
         keep = counts >= least
         return pa.table({"code": pa.array(codes[keep].astype(np.int64)), "documents": pa.array(counts[keep])})
 
-    least = max(COMMON_LEAST, rows // COMMON_SHARE)
+    least = COMMON_LEAST
     packed = docs.select("text").mapInArrow(emit, "bucket int, codes binary, counts binary")
     found = table(packed.groupBy("bucket").applyInArrow(add, "code long, documents long"), "common")
     while 12 * found.where(F.col("documents") >= least).count() > MAX_BROADCAST_BYTES:
@@ -227,14 +227,15 @@ def node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
 
 
-def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order) -> DataFrame:
-    """(peer, fragment, node, size, grams): the n-grams of every node of peers (node, peers), by fragment, once for each of its peers."""
+def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order, low: int = 0, high: int | None = None) -> DataFrame:
+    """(peer, fragment, node, size, grams): the n-grams of every node of peers (node, peers), once for each of its peers and fragments [low, high)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
     rows = texts.join(peers, "node").select("node", "text", "peers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shared.value
         f = cut.fragments
+        wanted = np.arange(low, f if high is None else high)
         for batch in batches:
             nodes, texts, lists = np.asarray(batch.column("node")), batch_texts(batch.column("text")), batch.column("peers")
             copies = np.asarray(lists.value_lengths()).astype(np.int64)
@@ -248,32 +249,40 @@ def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order) -> DataFr
                 doc = np.repeat(np.arange(b - a), copies[a:b])
                 peer = np.asarray(lists.slice(a, b - a).flatten())
                 for i, j in slices(size[doc], BATCH_GRAMS):
-                    row = np.repeat(doc[i:j], f) * f + np.tile(np.arange(f), j - i)
+                    row = np.repeat(doc[i:j], len(wanted)) * f + np.tile(wanted, j - i)
                     length = edges[row + 1] - edges[row]
                     ends = np.cumsum(length)
                     at = np.repeat(edges[row] - ends + length, length) + np.arange(ends[-1])
                     grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(value[at]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(peer[i:j], f)), pa.array((row % f).astype(np.int32)), pa.array(nodes[a:b][row // f]), pa.array(size[row // f].astype(np.int32)), grams],
+                        [pa.array(np.repeat(peer[i:j], len(wanted))), pa.array((row % f).astype(np.int32)), pa.array(nodes[a:b][row // f]), pa.array(size[row // f].astype(np.int32)), grams],
                         names=["peer", "fragment", "node", "size", "grams"],
                     )
 
     return rows.mapInArrow(run, "peer long, fragment int, node long, size int, grams array<long>")
 
 
-def _side_by_side(pairs: DataFrame, texts: DataFrame, n: int, order: Order) -> DataFrame:
+def _side_by_side(pairs: DataFrame, texts: DataFrame, n: int, order: Order, low: int = 0, high: int | None = None) -> DataFrame:
     """(a, b, fragment, size_a, size_b, ga, gb) of the pairs (a, b); the sets of b move to those of a, which may be hot and are split then."""
-    b = segments(texts, pairs.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("peers")), n, order)
-    a = segments(texts, pairs.select(F.col("a").alias("node")).distinct().withColumn("peers", F.array("node")), n, order)
+    b = segments(texts, pairs.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("peers")), n, order, low, high)
+    a = segments(texts, pairs.select(F.col("a").alias("node")).distinct().withColumn("peers", F.array("node")), n, order, low, high)
     b = b.select(F.col("peer").alias("a"), "fragment", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("gb"))
     return b.join(a.select(F.col("node").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("grams").alias("ga")), ["a", "fragment"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted per fragment and summed."""
-    counts = _side_by_side(pairs, texts, n, order).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
-    total = counts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return total.where((100 + per_cent) * F.col("overlap") >= per_cent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    """The pairs (a, b) that link: overlaps are counted per fragment and summed.
+
+    The first fragment goes first, as a pair whose count there cannot be made up for by all the others needs none of them.
+    """
+    enough = lambda count: (100 + per_cent) * count >= per_cent * (F.col("size_a") + F.col("size_b"))
+    overlap = F.size(F.array_intersect("ga", "gb"))
+    rest = F.least(F.col("size_a") - F.size("ga"), F.col("size_b") - F.size("gb"))
+    first = _side_by_side(pairs, texts, n, order, 0, 1).select("a", "b", "size_a", "size_b", overlap.alias("first"), rest.alias("rest"))
+    open_ = table(first.where(enough(F.col("first") + F.col("rest"))).select("a", "b", "first"), "open")
+    counts = _side_by_side(open_, texts, n, order, 1).select("a", "b", "size_a", "size_b", overlap.alias("overlap"))
+    total = counts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap")).join(open_, ["a", "b"])
+    return total.where(enough(F.col("first") + F.col("overlap"))).select("a", "b")
 
 
 def _most_apart(per_cent: int, sizes: Column) -> Column:
@@ -309,6 +318,19 @@ def _of_use(entries: DataFrame, per_cent: int) -> DataFrame:
     return sides.join(groups, "gram")
 
 
+def _pairwise(entries: DataFrame, most: int) -> int:
+    """Up to which number of smaller sides groups are compared pair by pair: SMALL, or the power of two that takes `most` pairs in all."""
+    power = F.ceil(F.log2(F.col("few"))).cast("int").alias("power")
+    by_size = entries.where(F.col("few") > SMALL).groupBy(power).agg(F.sum("few").alias("pairs")).orderBy("power").collect()
+    limit, total = SMALL, 0
+    for row in by_size:  # a row per power of two
+        total += row["pairs"]
+        if total > most:
+            break
+        limit = 1 << row["power"]
+    return limit
+
+
 def deviations(members: DataFrame, texts: DataFrame, n: int, per_cent: int, order: Order) -> tuple[DataFrame, DataFrame]:
     """For members b of heads a, rows (a, b, part): new groups (gram, node, size, dev, place, part) by deviations, and pairs that link by |dx| + |dy|."""
     apart = _side_by_side(members, texts, n, order).select("a", "b", "size_a", "size_b", F.explode(F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))).alias("g"))
@@ -341,10 +363,10 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     if fragments < 2:
         raise ValueError("two fragments at least")
     spark = docs.sparkSession
-    rows, total = text_bytes(docs)
+    _, total = text_bytes(docs)
     sets = table(document_sets(docs, n), "sets")
     shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    order = global_order(docs, n, rows, total, shingles, fragments)
+    order = global_order(docs, n, total, shingles, fragments)
     first = table(prefixes(docs, n, per_cent, order), "prefixes")
     several = first.groupBy("gram").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("gram")
     entries = first.join(several, "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("size").alias("dev"), F.first("place").alias("place"), F.first("node").alias("part"))
@@ -371,8 +393,7 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         # where all members are connected nothing is left to find
         open_ = table(_of_use(entries, per_cent), "open")
         drop_table(entries)
-        left = open_.groupBy("gram").agg(F.sum("few").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        small = F.col("few") <= (SMALL if left > PAIRS_PER_ENTRY * size else left)
+        small = F.col("few") <= _pairwise(open_, PAIRS_PER_ENTRY * size)
         few = open_.where(small).select("gram", "smaller", member.alias("x"))
         before = F.struct("x.dev", "x.node") < F.struct("y.dev", "y.node")
         each = few.where("smaller").join(few.select("gram", F.col("x").alias("y")), "gram").where(before & (F.col("x.part") != F.col("y.part")) & _may_link("x", "y", per_cent))
