@@ -1,12 +1,12 @@
 """Which biomass equation fits a lidar shot, and its value.
 
-Equations are SQL text in the names of the height metrics; exponent literals keep all arithmetic in doubles. Assignment is one CASE in
-order of priority, so the whole step is a projection without a shuffle.
+Most equations are a row of coefficients, the others SQL text in the names of the height metrics, where exponent literals keep all
+arithmetic in doubles. Assignment is one CASE in order of priority, so the whole step is a projection without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import member, true
@@ -66,75 +66,71 @@ COVER_CODES = {
 ICE = (0, 129, 133)
 REALM_PREFIXES = {"afrotropic": ("afrotropic",), "australia": ("australia_",), "nearctic": ("alaska", "western_canada", "eastern_canada", "conus", "mexico_"), "neotropic": ("tropical_neotropic", "extratropical_neotropic"), "palearctic": ("western_boreal", "eastern_boreal", "palearctic_"), "tropical_asia": ("tropical_asia",)}
 
-# The equations.
-_TROPICS = "-31.631e0 + 15.952e0 * HOME_Baccini + 7.832e0 * H10_Baccini - 18.805e0 * H60_Baccini - 38.428e0 * CANOPY_ENE + 8.285e0 * H25_Baccini"
-_BOREAL_WETLAND = "5.52e0 * VH - 5.17e0 * h50_Nelson - 2.22e0 * acq3_Neigh + 4.82e0"
-_W_HARDWOOD = "5.28e0 * h90_Nelson - 4.34e0 * h25_Nelson + 15.95e0 * acq3_Neigh + 37.16e0"
-_CONIFER_NEIGH = "5.31e0 * VH - 4.19e0 * h25_Nelson + 4.03e0"
-_CANADA_MIXED = "4.11e0 * QMCH + 2.26e0 * VH - 2.50e0 * h25_Nelson + 20.61e0"
-_W_BURNED = "5.46e0 * QMCH + 4.07e0 * ht_adjusted + 22.77e0 * acq3_Neigh + 5.05e0"
-_CONUS_MIXED = "6.147e0 * h75_Nelson - 6.292e0 * h10_Nelson + 0.667e0 * lead_Nelson + 3.128e0 * trail_Nelson"
-_SUGANUMA = "119.9699e0 * pow(treecover2000_mean / 100e0, 1.1781e0)"
-_MEXICO = "-3.364e0 * h25_Nelson + 3.210e0 * h90_Nelson + 21.612e0 * acq3_Nelson"
-EQUATIONS = {
-    "afrotropic": _TROPICS,
-    "tropical_asia": _TROPICS,
-    "tropical_neotropic": _TROPICS,
-    "australia_baccini_2012": _TROPICS,
-    "extratropical_neotropic": "2e0 * (0.41e0 + 0.53e0 * treecover2000_mean)",
-    "ak_wetland_steep": "4.48e0 * VH - 6.27e0 * h50_Nelson - 2.10e0 * f_slope + 6.31e0 * acq3_Neigh + 11.66e0",
-    "ak_wetland_flat": _BOREAL_WETLAND,
-    "ak_hardwood": _W_HARDWOOD,
-    "ak_conifer": "7.39e0 * h90_Nelson - 8.75e0 * h50_Nelson - 1.35e0 * acq3_Neigh + 36.98e0",
-    "ak_mixedwood": "4.54e0 * QMCH + 2.45e0 * VH + 18.96e0 * acq3_Neigh + 5.76e0",
-    "ak_burned": _W_BURNED,
-    "w_canada_wetland": _BOREAL_WETLAND,
-    "w_canada_hardwood": _W_HARDWOOD,
-    "w_canada_conifer": _CONIFER_NEIGH,
-    "w_canada_mixedwood": _CANADA_MIXED,
-    "w_canada_burned": _W_BURNED,
-    "e_canada_wetland_steep": "6.08e0 * VH - 1.29e0 * f_slope - 1.20e0",
-    "e_canada_wetland_flat": _BOREAL_WETLAND,
-    "e_canada_hardwood": "3.92e0 * QMCH + 6.09e0 * h90_Nelson - 5.44e0 * h25_Nelson + 9.32e0",
-    "e_canada_conifer": "2.27e0 * VH + 5.54e0 * h90_Nelson - 9.13e0 * h25_Nelson + 2.40e0",
-    "e_canada_mixedwood_high": "5.74e0 * VH - 0.92e0 * senergy - 5.01e0 * h25_Nelson + 14.63e0",
-    "e_canada_mixedwood_low": _CANADA_MIXED,
-    "e_canada_burned": "5.46e0 * QMCH + 4.07e0 * ht_adjusted + 22.76e0 * acq3_Neigh + 5.05e0",
-    "conus_wetland": "3.623e0 * h50_Nelson + 4.980e0 * h90_Nelson",
-    "conus_hardwood": "6.660e0 * h75_Nelson - 7.036e0 * h10_Nelson + 3.132e0 * trail_Nelson",
-    "conus_mixedwood": _CONUS_MIXED,
-    "conus_burned": "4.331e0 * h90_Nelson - 4.222e0 * h75_Nelson",
-    "zero_biomass": "0e0",
-    "mexico_north": _MEXICO,
-    "mexico_north_conifer": _MEXICO + " + 18.778e0",
-    "mexico_south": "6.845e0 * h75_Nelson - 6.144e0 * h10_Nelson - 2.565e0 * trail_Nelson",
-    "conus_conifer_nelson_2017": _CONUS_MIXED,
-    "conus_conifer_tsui_2012": "-7.144e0 - 12.925e0 * MeanH + 2.239e0 * h10_p12 + 14.019e0 * h90_p12",
-    "conus_conifer_neigh_2013": _CONIFER_NEIGH,
+# The linear equations, as factor, constant and the coefficients of metrics.
+LINEAR: dict[str, tuple[float, float, dict[str, float]]] = {
+    "afrotropic": (1, -31.631, {"HOME_Baccini": 15.952, "H10_Baccini": 7.832, "H60_Baccini": -18.805, "CANOPY_ENE": -38.428, "H25_Baccini": 8.285}),
+    "tropical_asia": (1, -31.631, {"HOME_Baccini": 15.952, "H10_Baccini": 7.832, "H60_Baccini": -18.805, "CANOPY_ENE": -38.428, "H25_Baccini": 8.285}),
+    "tropical_neotropic": (1, -31.631, {"HOME_Baccini": 15.952, "H10_Baccini": 7.832, "H60_Baccini": -18.805, "CANOPY_ENE": -38.428, "H25_Baccini": 8.285}),
+    "australia_baccini_2012": (1, -31.631, {"HOME_Baccini": 15.952, "H10_Baccini": 7.832, "H60_Baccini": -18.805, "CANOPY_ENE": -38.428, "H25_Baccini": 8.285}),
+    "extratropical_neotropic": (2, 0.41, {"treecover2000_mean": 0.53}),
+    "ak_wetland_steep": (1, 11.66, {"VH": 4.48, "h50_Neigh": -6.27, "f_slope": -2.1, "acq3_Neigh": 6.31}),
+    "ak_wetland_flat": (1, 4.82, {"VH": 5.52, "h50_Neigh": -5.17, "acq3_Neigh": -2.22}),
+    "ak_hardwood": (1, 37.16, {"h90_Neigh": 5.28, "h25_Neigh": -4.34, "acq3_Neigh": 15.95}),
+    "ak_conifer": (1, 36.98, {"h90_Neigh": 7.39, "h50_Neigh": -8.75, "acq3_Neigh": -1.35}),
+    "ak_mixedwood": (1, 5.76, {"QMCH": 4.54, "VH": 2.45, "acq3_Neigh": 18.96}),
+    "ak_burned": (1, 5.05, {"QMCH": 5.46, "ht_adjusted": 4.07, "acq3_Neigh": 22.77}),
+    "w_canada_wetland": (1, 4.82, {"VH": 5.52, "h50_Neigh": -5.17, "acq3_Neigh": -2.22}),
+    "w_canada_hardwood": (1, 37.16, {"h90_Neigh": 5.28, "h25_Neigh": -4.34, "acq3_Neigh": 15.95}),
+    "w_canada_conifer": (1, 4.03, {"VH": 5.31, "h25_Neigh": -4.19}),
+    "w_canada_mixedwood": (1, 20.61, {"QMCH": 4.11, "VH": 2.26, "h25_Neigh": -2.5}),
+    "w_canada_burned": (1, 5.05, {"QMCH": 5.46, "ht_adjusted": 4.07, "acq3_Neigh": 22.77}),
+    "e_canada_wetland_steep": (1, -1.2, {"VH": 6.08, "f_slope": -1.29}),
+    "e_canada_wetland_flat": (1, 4.82, {"VH": 5.52, "h50_Neigh": -5.17, "acq3_Neigh": -2.22}),
+    "e_canada_hardwood": (1, 9.32, {"QMCH": 3.92, "h90_Neigh": 6.09, "h25_Neigh": -5.44}),
+    "e_canada_conifer": (1, 2.4, {"VH": 2.27, "h90_Neigh": 5.54, "h25_Neigh": -9.13}),
+    "e_canada_mixedwood_high": (1, 14.63, {"VH": 5.74, "senergy": -0.92, "h25_Neigh": -5.01}),
+    "e_canada_mixedwood_low": (1, 20.61, {"QMCH": 4.11, "VH": 2.26, "h25_Neigh": -2.5}),
+    "e_canada_burned": (1, 5.05, {"QMCH": 5.46, "ht_adjusted": 4.07, "acq3_Neigh": 22.76}),
+    "conus_wetland": (1, 0, {"h50_Nelson": 3.623, "h90_Nelson": 4.98}),
+    "conus_hardwood": (1, 0, {"h75_Nelson": 6.66, "h10_Nelson": -7.036, "trail_Nelson": 3.132}),
+    "conus_mixedwood": (1, 0, {"h75_Nelson": 6.147, "h10_Nelson": -6.292, "lead_Nelson": 0.667, "trail_Nelson": 3.128}),
+    "conus_burned": (1, 0, {"h90_Nelson": 4.331, "h75_Nelson": -4.222}),
+    "zero_biomass": (1, 0, {}),
+    "mexico_north": (1, 0, {"h25_Nelson": -3.364, "h90_Nelson": 3.21, "acq3_Nelson": 21.612}),
+    "mexico_north_conifer": (1, 18.778, {"h25_Nelson": -3.364, "h90_Nelson": 3.21, "acq3_Nelson": 21.612}),
+    "mexico_south": (1, 0, {"h75_Nelson": 6.845, "h10_Nelson": -6.144, "trail_Nelson": -2.565}),
+    "conus_conifer_nelson_2017": (1, 0, {"h75_Nelson": 6.147, "h10_Nelson": -6.292, "lead_Nelson": 0.667, "trail_Nelson": 3.128}),
+    "conus_conifer_tsui_2012": (1, -7.144, {"MeanH": -12.925, "h10_p12": 2.239, "h90_p12": 14.019}),
+    "conus_conifer_neigh_2013": (1, 4.03, {"VH": 5.31, "h25_Neigh": -4.19}),
+    "conus_conifer_hudak_2012": (1, -16.54, {"MeanH": 21.18}),
+    "conus_conifer_hyde_2007": (1, 7.042, {"MeanH": 16.141}),
+    "conus_conifer_popescu_2011": (1, -29.308, {"VH": 7.5429}),
+    "conus_conifer_skowronski_2007": (1, 0, {"MeanH": 6.04}),
+    "conus_conifer_sun_2011": (1, -1.717, {"h50_Neigh": 6.208, "h75_Neigh": 8.625}),
+    "conus_conifer_anderson_2006": (1, 29.954, {"h50_Neigh": 14.297}),
+    "wbe_confier": (1, 4.72, {"h90_Neigh": 5.95, "h25_Neigh": -5.0}),
+    "wbe_mixed_hard_wood": (1, -7.03, {"h75_Neigh": 8.84, "h25_Neigh": -5.09}),
+    "eastern_boreal_eurasia": (1, -3.49, {"h75_Neigh": 13.6, "h25_Neigh": -14.3}),
+    "palearctic_takagi_2015": (2, 24.5, {"MeanH": 6.7}),
+    "palearctic_yavasli_2016": (1, 24.11, {"HOME_Yavasli": -3.84, "pct_HOME_Yavasli": 2.44}),
+    "palearctic_brovkina_2015": (1, -99.9, {"MeanH": 12.8}),
+    "palearctic_whrc": (1, 13.7949, {"HOME_Baccini": 0.8912, "CANOPY_DEP": 25.4467, "VH": -18.1995}),
+    "australia_beets_2011": (2, -45.8, {"h30_canopy": 7.52, "treecover2000_mean": 0.67}),
+    "australia_lucas_2008": (1, -20.68, {"h05_canopy": -44.4, "h10_canopy": 57.98, "h20_canopy": -18.8, "h50_canopy": 8.3, "h75_canopy": -34.98, "h80_canopy": 32.2, "treecover2000_mean": 0.86}),
+}
+# The others, in SQL.
+CURVED = {
     "conus_conifer_lu_2012": "case when Height_35_to_40 <= 0 or QMCH <= 0 then 0e0 else exp(2.10e0 + 1.56e0 * ln(QMCH) + 0.05e0 * ln(Height_35_to_40)) end",
-    "conus_conifer_hudak_2012": "-16.54e0 + 21.18e0 * MeanH",
-    "conus_conifer_hyde_2007": "7.042e0 + 16.141e0 * MeanH",
-    "conus_conifer_popescu_2011": "7.5429e0 * VH - 29.308e0",
-    "conus_conifer_skowronski_2007": "6.04e0 * MeanH",
-    "conus_conifer_sun_2011": "-1.717e0 + 6.208e0 * h50_Nelson + 8.625e0 * h75_Nelson",
-    "conus_conifer_anderson_2006": "29.954e0 + 14.297e0 * h50_Nelson",
-    "wbe_confier": "5.95e0 * h90_Nelson - 5e0 * h25_Nelson + 4.72e0",
-    "wbe_mixed_hard_wood": "8.84e0 * h75_Nelson - 5.09e0 * h25_Nelson - 7.03e0",
-    "eastern_boreal_eurasia": "13.60e0 * h75_Nelson - 14.30e0 * h25_Nelson - 3.49e0",
     "palearctic_wang_2013": "case when VH <= 0 then 0e0 else exp(1.48e0 + 1.09e0 * ln(VH)) end",
-    "palearctic_takagi_2015": "2e0 * (6.70e0 * MeanH + 24.5e0)",
-    "palearctic_yavasli_2016": "24.11e0 - 3.84e0 * HOME_Yavasli + 2.44e0 * pct_HOME_Yavasli",
-    "palearctic_brovkina_2015": "12.8e0 * MeanH - 99.9e0",
     "palearctic_alberti_2013": "2e0 * 3.33e0 * pow(MeanH, 1.27e0)",
-    "palearctic_whrc": "13.7949e0 + 0.8912e0 * HOME_Baccini + 25.4467e0 * CANOPY_DEP - 18.1995e0 * VH",
     "palearctic_shang_and_chazette_2014": "2e0 * (42.36e0 + 0.24e0 * QMCH * QMCH)",
     "palearctic_simonson_2016": "case when MeanH <= 0 then 0e0 else exp(3.02e0 + 0.89e0 * ln(MeanH)) end",
     "palearctic_patenaude_2004": "2e0 * (1.36e0 * 0.68e0 * 0.49e0) * 19.186e0 * exp(0.1256e0 * h80_p12)",
-    "palearctic_suganuma_2006": _SUGANUMA,
-    "australia_suganuma_2006": _SUGANUMA,
-    "australia_beets_2011": "2e0 * (-45.8e0 + 7.52e0 * h30_canopy + 0.67e0 * treecover2000_mean)",
-    "australia_lucas_2008": "-44.4e0 * h05_canopy + 57.98e0 * h10_canopy - 18.8e0 * h20_canopy + 8.3e0 * h50_canopy - 34.98e0 * h75_canopy + 32.2e0 * h80_canopy + 0.86e0 * treecover2000_mean - 20.68e0",
+    "palearctic_suganuma_2006": "119.9699e0 * pow(treecover2000_mean / 100e0, 1.1781e0)",
+    "australia_suganuma_2006": "119.9699e0 * pow(treecover2000_mean / 100e0, 1.1781e0)",
 }
+EQUATIONS = [*LINEAR, *CURVED]
+METRICS = sorted({m for _, _, terms in LINEAR.values() for m in terms})
 
 
 def ids(ranges: str) -> list[int]:
@@ -203,11 +199,6 @@ def assignment_sql() -> str:
     return "case " + " ".join(out) + " else eco_group end"
 
 
-def biomass_sql() -> str:
-    """The value of the shot's equation, NULL for a name without one."""
-    return "case " + " ".join(f"when allometric_eq = '{n}' then {e}" for n, e in EQUATIONS.items()) + " end"
-
-
 def realm(c: Column | str = "ecoregion") -> Column:
     return F.expr(realm_sql(c if isinstance(c, str) else "ecoregion"))
 
@@ -222,11 +213,24 @@ def assign_equations(df: DataFrame) -> DataFrame:
     return df.withColumn("eco_group", F.expr(group_sql())).withColumn("allometric_eq", F.expr(assignment_sql())).drop("eco_group")
 
 
+def coefficients(spark: SparkSession) -> DataFrame:
+    """(allometric_eq, factor, constant, terms): terms are the places of metrics in METRICS and their coefficients."""
+    rows = [(name, float(factor), float(constant), [(METRICS.index(m), c) for m, c in terms.items()]) for name, (factor, constant, terms) in LINEAR.items()]
+    return spark.createDataFrame(rows, "allometric_eq string, factor double, constant double, terms array<struct<at: int, c: double>>")
+
+
 def calculate_biomass(df: DataFrame) -> DataFrame:
-    """Adds biomass; shots whose equation is none of the table are dropped."""
-    # a lambda over one value, so that the optimizer never repeats the assignment in each branch
-    value = biomass_sql().replace("allometric_eq = ", "eq = ")
-    return df.where(member(F.col("allometric_eq"), list(EQUATIONS))).withColumn("biomass", F.expr(f"element_at(transform(array(allometric_eq), eq -> {value}), 1)"))
+    """Adds biomass; shots whose equation is none of the table are dropped.
+
+    Linear equations are one sum over their terms, so the code does not grow with their number; the table of them is of fixed size.
+    """
+    curve = F.lit(None).cast("double")
+    for name, text in CURVED.items():
+        curve = F.when(F.col("allometric_eq") == name, F.expr(text)).otherwise(curve)
+    rows = df.where(member(F.col("allometric_eq"), EQUATIONS)).join(F.broadcast(coefficients(df.sparkSession)), "allometric_eq", "left")
+    rows = rows.withColumn("__metrics", F.array(*[F.col(m).cast("double") for m in METRICS]))
+    line = F.aggregate("terms", F.col("constant"), lambda total, t: total + t["c"] * F.get("__metrics", t["at"]), lambda total: total * F.col("factor"))
+    return rows.withColumn("biomass", F.when(F.col("terms").isNull(), curve).otherwise(line)).drop("factor", "constant", "terms", "__metrics")
 
 
 def clean_biomass(df: DataFrame) -> DataFrame:

@@ -116,21 +116,148 @@ def b6(spark, d):
     return filters.waveform_quality(df).select("vec_id")
 
 
-_SHOT_META = """select vec_id, vec_id % 847 ecoregion, case when label % 3 = 0 then 40 + label % 5 when label % 3 = 1 then 90 else null end nlcd, case when label % 4 = 2 then 210 + label end eosd, label % 17 igbp,
- vec_id % 11 = 0 burned, (vec_id * 7 % 101) * 1.0e0 treecover2000_mean, (vec_id % 50) / 10e0 f_slope, (vec_id % 60) * 1.0e0 senergy, 2 + (vec_id % 37) / 2e0 VH, 3 + (vec_id % 23) / 3e0 QMCH, 1 + (vec_id % 31) / 4e0 MeanH,
- (vec_id % 7) / 100e0 Height_35_to_40, (vec_id % 3) / 3e0 CANOPY_ENE, 4 + (vec_id % 9) * 1.0e0 CANOPY_DEP, 5 + (vec_id % 13) * 1.0e0 HOME_Baccini, 8 + (vec_id % 11) * 1.0e0 H10_Baccini, 6 + (vec_id % 11) * 1.0e0 H25_Baccini,
- 4 + (vec_id % 11) * 1.0e0 H60_Baccini, 3 + (vec_id % 5) * 1.0e0 HOME_Yavasli, (vec_id % 5) / 5e0 pct_HOME_Yavasli, 6 + (vec_id % 8) * 1.0e0 ht_adjusted, vec_id % 2 acq3_Neigh, vec_id % 2 acq3_Nelson, 1.5e0 lead_Nelson, 2.5e0 trail_Nelson,
- 11.0e0 + vec_id % 3 h10_p12, 10.0e0 + vec_id % 20 h80_p12, 14.0e0 h90_p12, 1.0e0 h05_canopy, 2.0e0 h10_canopy, 3.0e0 h20_canopy, 4.0e0 h30_canopy, 5.0e0 h50_canopy, 6.0e0 h75_canopy, 7.0e0 h80_canopy,
- 2.0e0 h10_Nelson, 4.0e0 + vec_id % 4 h25_Nelson, 6.0e0 + vec_id % 4 h50_Nelson, 8.0e0 + vec_id % 4 h75_Nelson, 10.0e0 + vec_id % 4 h90_Nelson, (vec_id % 120) - 60.0e0 lat, vec_id from embeddings"""
-_SHOT_META = _SHOT_META.rpartition(", vec_id from")[0] + " from embeddings"
+# Shots that reach every equation: eight variants of each vector, in the shared dialect of both engines.
+_SHOT_COLUMNS = """vec_id
+case when vec_id % 13 = 0 then 370 when vec_id % 17 = 1 then 347 else vec_id % 847 end ecoregion
+case vec_id % 7 when 0 then 90 when 1 then 41 when 2 then 42 when 3 then 43 when 4 then 11 end nlcd
+case vec_id % 5 when 0 then 81 when 1 then 211 when 2 then 10 end eosd
+cast(vec_id % 17 as int) igbp
+vec_id % 11 = 0 burned
+(vec_id * 7 % 101) * 1.0e0 treecover2000_mean
+(vec_id % 50) / 10e0 f_slope
+(vec_id % 60) * 1.0e0 senergy
+2 + (vec_id % 37) / 2e0 VH
+3 + (vec_id % 23) / 3e0 QMCH
+1 + (vec_id % 29) / 4e0 MeanH
+(vec_id % 7) / 100e0 Height_35_to_40
+(vec_id % 3) / 3e0 CANOPY_ENE
+4 + (vec_id % 9) * 1.0e0 CANOPY_DEP
+5 + (vec_id % 13) * 1.0e0 HOME_Baccini
+8 + (vec_id % 12) * 1.0e0 H10_Baccini
+6 + (vec_id % 11) * 1.0e0 H25_Baccini
+4 + (vec_id % 10) * 1.0e0 H60_Baccini
+3 + (vec_id % 5) * 1.0e0 HOME_Yavasli
+(vec_id % 6) / 5e0 pct_HOME_Yavasli
+6 + (vec_id % 8) * 1.0e0 ht_adjusted
+cast(vec_id % 2 as int) acq3_Neigh
+cast(vec_id % 3 = 0 as int) acq3_Nelson
+1.5e0 + vec_id % 4 lead_Nelson
+2.5e0 + vec_id % 5 trail_Nelson
+11.0e0 + vec_id % 3 h10_p12
+10.0e0 + vec_id % 20 h80_p12
+14.0e0 + vec_id % 6 h90_p12
+1.0e0 + vec_id % 3 h05_canopy
+2.0e0 + vec_id % 5 h10_canopy
+3.0e0 + vec_id % 7 h20_canopy
+4.0e0 + vec_id % 9 h30_canopy
+5.0e0 + vec_id % 11 h50_canopy
+6.0e0 + vec_id % 13 h75_canopy
+7.0e0 + vec_id % 15 h80_canopy
+2.0e0 + vec_id % 6 h10_Nelson
+4.0e0 + vec_id % 4 h25_Nelson
+6.0e0 + vec_id % 5 h50_Nelson
+8.0e0 + vec_id % 7 h75_Nelson
+10.0e0 + vec_id % 9 h90_Nelson
+3.0e0 + vec_id % 8 h25_Neigh
+5.0e0 + vec_id % 10 h50_Neigh
+7.0e0 + vec_id % 14 h75_Neigh
+9.0e0 + vec_id % 16 h90_Neigh
+(vec_id % 120) - 60.0e0 lat""".splitlines()
+_SHOTS = f"select {', '.join(_SHOT_COLUMNS)} from (select vec_id * 8 + k vec_id from embeddings, range(8) t(k))"
 
 
 def _shot_meta(spark, d):
-    A.read(spark, d, "embeddings").createOrReplaceTempView("embeddings")
-    return spark.sql(_SHOT_META)
-
-
-_ASSIGNED = f"select *, {allometry.assignment_sql()} allometric_eq from (select *, {allometry.group_sql()} eco_group from ({_SHOT_META}))"
+    return A.read(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select((F.col("vec_id") * 8 + F.col("k")).alias("vec_id")).selectExpr(*_SHOT_COLUMNS)
+
+
+#: The published equations once more, as plain SQL for DuckDB; the operator has them as coefficients.
+_EQUATION_SQL = {
+    "afrotropic": "-31.631 + 15.952 * HOME_Baccini + 7.832 * H10_Baccini - 18.805 * H60_Baccini - 38.428 * CANOPY_ENE + 8.285 * H25_Baccini",
+    "tropical_asia": "-31.631 + 15.952 * HOME_Baccini + 7.832 * H10_Baccini - 18.805 * H60_Baccini - 38.428 * CANOPY_ENE + 8.285 * H25_Baccini",
+    "tropical_neotropic": "-31.631 + 15.952 * HOME_Baccini + 7.832 * H10_Baccini - 18.805 * H60_Baccini - 38.428 * CANOPY_ENE + 8.285 * H25_Baccini",
+    "australia_baccini_2012": "-31.631 + 15.952 * HOME_Baccini + 7.832 * H10_Baccini - 18.805 * H60_Baccini - 38.428 * CANOPY_ENE + 8.285 * H25_Baccini",
+    "extratropical_neotropic": "2 * (0.41 + 0.53 * treecover2000_mean)",
+    "ak_wetland_steep": "11.66 + 4.48 * VH - 6.27 * h50_Neigh - 2.10 * f_slope + 6.31 * acq3_Neigh",
+    "ak_wetland_flat": "4.82 + 5.52 * VH - 5.17 * h50_Neigh - 2.22 * acq3_Neigh",
+    "ak_hardwood": "37.16 + 5.28 * h90_Neigh - 4.34 * h25_Neigh + 15.95 * acq3_Neigh",
+    "ak_conifer": "36.98 + 7.39 * h90_Neigh - 8.75 * h50_Neigh - 1.35 * acq3_Neigh",
+    "ak_mixedwood": "5.76 + 4.54 * QMCH + 2.45 * VH + 18.96 * acq3_Neigh",
+    "ak_burned": "5.05 + 5.46 * QMCH + 4.07 * ht_adjusted + 22.77 * acq3_Neigh",
+    "w_canada_wetland": "4.82 + 5.52 * VH - 5.17 * h50_Neigh - 2.22 * acq3_Neigh",
+    "w_canada_hardwood": "37.16 + 5.28 * h90_Neigh - 4.34 * h25_Neigh + 15.95 * acq3_Neigh",
+    "w_canada_conifer": "4.03 + 5.31 * VH - 4.19 * h25_Neigh",
+    "w_canada_mixedwood": "20.61 + 4.11 * QMCH + 2.26 * VH - 2.50 * h25_Neigh",
+    "w_canada_burned": "5.05 + 5.46 * QMCH + 4.07 * ht_adjusted + 22.77 * acq3_Neigh",
+    "e_canada_wetland_steep": "-1.20 + 6.08 * VH - 1.29 * f_slope",
+    "e_canada_wetland_flat": "4.82 + 5.52 * VH - 5.17 * h50_Neigh - 2.22 * acq3_Neigh",
+    "e_canada_hardwood": "9.32 + 3.92 * QMCH + 6.09 * h90_Neigh - 5.44 * h25_Neigh",
+    "e_canada_conifer": "2.40 + 2.27 * VH + 5.54 * h90_Neigh - 9.13 * h25_Neigh",
+    "e_canada_mixedwood_high": "14.63 + 5.74 * VH - 0.92 * senergy - 5.01 * h25_Neigh",
+    "e_canada_mixedwood_low": "20.61 + 4.11 * QMCH + 2.26 * VH - 2.50 * h25_Neigh",
+    "e_canada_burned": "5.05 + 5.46 * QMCH + 4.07 * ht_adjusted + 22.76 * acq3_Neigh",
+    "conus_wetland": "3.623 * h50_Nelson + 4.980 * h90_Nelson",
+    "conus_hardwood": "6.660 * h75_Nelson - 7.036 * h10_Nelson + 3.132 * trail_Nelson",
+    "conus_mixedwood": "6.147 * h75_Nelson - 6.292 * h10_Nelson + 0.667 * lead_Nelson + 3.128 * trail_Nelson",
+    "conus_burned": "4.331 * h90_Nelson - 4.222 * h75_Nelson",
+    "zero_biomass": "0",
+    "mexico_north": "-3.364 * h25_Nelson + 3.210 * h90_Nelson + 21.612 * acq3_Nelson",
+    "mexico_north_conifer": "18.778 - 3.364 * h25_Nelson + 3.210 * h90_Nelson + 21.612 * acq3_Nelson",
+    "mexico_south": "6.845 * h75_Nelson - 6.144 * h10_Nelson - 2.565 * trail_Nelson",
+    "conus_conifer_nelson_2017": "6.147 * h75_Nelson - 6.292 * h10_Nelson + 0.667 * lead_Nelson + 3.128 * trail_Nelson",
+    "conus_conifer_tsui_2012": "-7.144 - 12.925 * MeanH + 2.239 * h10_p12 + 14.019 * h90_p12",
+    "conus_conifer_neigh_2013": "4.03 + 5.31 * VH - 4.19 * h25_Neigh",
+    "conus_conifer_lu_2012": "case when Height_35_to_40 <= 0 or QMCH <= 0 then 0 else exp(2.10 + 1.56 * ln(QMCH) + 0.05 * ln(Height_35_to_40)) end",
+    "conus_conifer_hudak_2012": "-16.54 + 21.18 * MeanH",
+    "conus_conifer_hyde_2007": "7.042 + 16.141 * MeanH",
+    "conus_conifer_popescu_2011": "-29.308 + 7.5429 * VH",
+    "conus_conifer_skowronski_2007": "6.04 * MeanH",
+    "conus_conifer_sun_2011": "-1.717 + 6.208 * h50_Neigh + 8.625 * h75_Neigh",
+    "conus_conifer_anderson_2006": "29.954 + 14.297 * h50_Neigh",
+    "wbe_confier": "4.72 + 5.95 * h90_Neigh - 5 * h25_Neigh",
+    "wbe_mixed_hard_wood": "-7.03 + 8.84 * h75_Neigh - 5.09 * h25_Neigh",
+    "eastern_boreal_eurasia": "-3.49 + 13.60 * h75_Neigh - 14.30 * h25_Neigh",
+    "palearctic_wang_2013": "case when VH <= 0 then 0 else exp(1.48 + 1.09 * ln(VH)) end",
+    "palearctic_takagi_2015": "2 * (24.5 + 6.70 * MeanH)",
+    "palearctic_yavasli_2016": "24.11 - 3.84 * HOME_Yavasli + 2.44 * pct_HOME_Yavasli",
+    "palearctic_brovkina_2015": "-99.9 + 12.8 * MeanH",
+    "palearctic_alberti_2013": "2 * 3.33 * pow(MeanH, 1.27)",
+    "palearctic_whrc": "13.7949 + 0.8912 * HOME_Baccini + 25.4467 * CANOPY_DEP - 18.1995 * VH",
+    "palearctic_shang_and_chazette_2014": "2 * (42.36 + 0.24 * QMCH * QMCH)",
+    "palearctic_simonson_2016": "case when MeanH <= 0 then 0 else exp(3.02 + 0.89 * ln(MeanH)) end",
+    "palearctic_patenaude_2004": "2 * (1.36 * 0.68 * 0.49) * 19.186 * exp(0.1256 * h80_p12)",
+    "palearctic_suganuma_2006": "119.9699 * pow(treecover2000_mean / 100, 1.1781)",
+    "australia_suganuma_2006": "119.9699 * pow(treecover2000_mean / 100, 1.1781)",
+    "australia_beets_2011": "2 * (-45.8 + 7.52 * h30_canopy + 0.67 * treecover2000_mean)",
+    "australia_lucas_2008": "-20.68 - 44.4 * h05_canopy + 57.98 * h10_canopy - 18.8 * h20_canopy + 8.3 * h50_canopy - 34.98 * h75_canopy + 32.2 * h80_canopy + 0.86 * treecover2000_mean",
+}
+
+
+def _listed(ranges: dict[str, str]) -> str:
+    """Rows (nth, name, low, high) of fixed id ranges."""
+    rows = [(i, name, *(part.split("-") * 2)[:2]) for i, (name, text) in enumerate(ranges.items()) for part in text.split()]
+    return "(values " + ", ".join(f"({i}, '{name}', {low}, {high})" for i, name, low, high in rows) + ") g(nth, name, low, high)"
+
+
+def _grouped(c: str, source: str, ranges: dict[str, str], out: str) -> str:
+    """source with the last group whose ranges hold column c, by a range join."""
+    return f"select s.*, m.name {out} from ({source}) s left join (select c, arg_max(name, nth) name from (select distinct {c} c from ({source})), {_listed(ranges)} where c between low and high group by c) m on m.c = s.{c}"
+
+
+_COVERED = f"""select *, nlcd = 90 or eosd = 81 or (none and igbp = 11) wet, nlcd = 41 or eosd in (220, 221, 222, 223) or (none and igbp = 4) hard, nlcd = 42 or eosd in (210, 211, 212, 213) or (none and igbp in (1, 3)) con,
+ nlcd = 43 or eosd in (51, 230, 231, 232, 233) or (none and igbp in (5, 8, 9)) mix, nlcd in (11, 12, 21, 22, 23, 24, 31, 52, 71, 72, 73, 74, 81, 82, 95) or eosd in (0, 10, 11, 12, 20, 30, 31, 32, 33, 34, 35, 36, 37, 40, 51, 52, 82, 83, 100)
+ or (none and igbp in (0, 6, 7, 10, 12, 13, 15, 16)) nil from (select *, nlcd is null and eosd is null none from ({_grouped('ecoregion', _grouped('ecoregion', _SHOTS, allometry.ECOREGION_GROUPS, 'eco'), allometry.CONIFER_GROUPS, 'own_conifer')}))"""
+_ASSIGNED = f"""select *, case when own_conifer is not null and con then own_conifer
+ when eco in ('alaska', 'western_canada', 'eastern_canada', 'conus') and nil then 'zero_biomass'
+ when eco = 'alaska' and burned then 'ak_burned' when eco = 'western_canada' and burned then 'w_canada_burned' when eco = 'eastern_canada' and burned then 'e_canada_burned' when eco = 'conus' and burned then 'conus_burned'
+ when eco = 'alaska' and mix then 'ak_mixedwood' when eco = 'western_canada' and mix then 'w_canada_mixedwood' when eco = 'conus' and mix then 'conus_mixedwood'
+ when eco = 'eastern_canada' and mix and senergy >= 26.643 then 'e_canada_mixedwood_high' when eco = 'eastern_canada' and mix then 'e_canada_mixedwood_low'
+ when eco = 'alaska' and con then 'ak_conifer' when eco = 'western_canada' and con then 'w_canada_conifer' when eco = 'eastern_canada' and con then 'e_canada_conifer'
+ when eco = 'alaska' and hard then 'ak_hardwood' when eco = 'western_canada' and hard then 'w_canada_hardwood' when eco = 'eastern_canada' and hard then 'e_canada_hardwood' when eco = 'conus' and hard then 'conus_hardwood'
+ when eco = 'alaska' and wet and f_slope >= 2.552 then 'ak_wetland_steep' when eco = 'alaska' and wet then 'ak_wetland_flat' when eco = 'eastern_canada' and wet and f_slope >= 2.552 then 'e_canada_wetland_steep'
+ when eco = 'eastern_canada' and wet then 'e_canada_wetland_flat' when eco = 'western_canada' and wet then 'w_canada_wetland' when eco = 'conus' and wet then 'conus_wetland'
+ when eco = 'western_boreal_eurasia' and igbp in (1, 3, 8, 9, 11) then 'wbe_confier' when eco = 'western_boreal_eurasia' then 'wbe_mixed_hard_wood'
+ when eco = 'mexico_north' and con then 'mexico_north_conifer' else coalesce(eco, '') end allometric_eq from ({_COVERED})"""
+_BIOMASS = f"select *, case allometric_eq {' '.join(f"when '{k}' then {e}" for k, e in _EQUATION_SQL.items())} end::double biomass from ({_ASSIGNED}) where allometric_eq in {tuple(_EQUATION_SQL)}"
 
 
 @query("e5_assign_equations", f"select vec_id, allometric_eq from ({_ASSIGNED})")
@@ -138,21 +265,25 @@ def e5(spark, d):
     return allometry.assign_equations(_shot_meta(spark, d)).select("vec_id", "allometric_eq")
 
 
-@query("e6_biomass", f"select vec_id, allometric_eq, round({allometry.biomass_sql()}, 4) biomass from ({_ASSIGNED}) where allometric_eq in {tuple(allometry.EQUATIONS)}")
+@query("e6_biomass", f"select vec_id, allometric_eq, round(biomass, 5) biomass from ({_BIOMASS})")
 def e6(spark, d):
     df = allometry.calculate_biomass(allometry.assign_equations(_shot_meta(spark, d)))
-    return df.select("vec_id", "allometric_eq", F.round("biomass", 4).alias("biomass"))
+    return df.select("vec_id", "allometric_eq", F.round("biomass", 5).alias("biomass"))
 
 
-@query("e7_clean_biomass", f"select allometric_eq, count(*) n, round(sum(case when VH < 2 or biomass < 1 or treecover2000_mean < 10 then 0 else biomass end), 3) biomass from (select *, {allometry.biomass_sql()} biomass from ({_ASSIGNED})) where allometric_eq in {tuple(allometry.EQUATIONS)} and VH >= 0 and (allometric_eq <> 'palearctic_patenaude_2004' or h80_p12 between 13 and 25) group by 1")
+@query("e7_clean_biomass", f"select allometric_eq, count(*) n, round(sum(case when VH < 2 or biomass < 1 or treecover2000_mean < 10 then 0 else biomass end), 5) biomass from ({_BIOMASS}) where VH >= 0 and (allometric_eq <> 'palearctic_patenaude_2004' or h80_p12 between 13 and 25) group by 1")
 def e7(spark, d):
     df = allometry.apply_allometry(_shot_meta(spark, d), seasons=False)
-    return df.groupBy("allometric_eq").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("biomass"), 3).alias("biomass"))
+    return df.groupBy("allometric_eq").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("biomass"), 5).alias("biomass"))
+
+
+_REALM_OF = """case when eco is null then 'nan' when eco = 'afrotropic' then 'afrotropic' when eco = 'tropical_asia' then 'tropical_asia' when eco like 'australia%' then 'australia' when eco like '%neotropic' then 'neotropic'
+ when eco in ('alaska', 'western_canada', 'eastern_canada', 'conus', 'mexico_north', 'mexico_south') then 'nearctic' else 'palearctic' end"""
 
 
-@query("e9_realms", f"select realm, count(*) n, sum(ecoregion) ecoregions from (select e ecoregion, {allometry.realm_sql('e')} realm from range(850) t(e)) group by 1")
+@query("e9_realms", f"select realm, count(*) n, sum(ecoregion) ecoregions from (select ecoregion, case when ecoregion in (0, 129, 133) then 'ice' when ecoregion = 622 then 'tropical_asia' else {_REALM_OF} end realm from ({_grouped('ecoregion', 'select vec_id % 850 ecoregion from (select vec_id * 8 + k vec_id from embeddings, range(8) t(k))', allometry.ECOREGION_GROUPS, 'eco')})) group by 1")
 def e9(spark, d):
-    df = spark.range(850).select(F.col("id").alias("ecoregion")).withColumn("realm", allometry.realm())
+    df = _shot_meta(spark, d).select((F.col("vec_id") % 850).alias("ecoregion")).withColumn("realm", allometry.realm())
     return df.groupBy("realm").agg(F.count(F.lit(1)).alias("n"), F.sum("ecoregion").alias("ecoregions"))
 
 

@@ -62,18 +62,18 @@ def sql_landcover(m: int = 20) -> str:
 
 
 def regions(spark: SparkSession, sf_dir: str, m: int = 20) -> DataFrame:
-    """24 rectangles of cells (id, code, realm, ring) in degrees; some cells lie outside all."""
+    """25 rectangles of cells (id, code, realm, ring) in degrees; the last is half as wide, so some cells lie outside all."""
     from ..functions.geometry import box_ring
 
-    n = read(spark, sf_dir, "nation").where("n_nationkey < 24").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     w = m // 5
     x0, y1 = (F.col("n_nationkey") % 5) * w / 4.0, F.lit(10.0) - F.floor(F.col("n_nationkey") / 5) * w / 4.0
-    return n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("code"), F.col("r_name").alias("realm"), box_ring(x0, y1 - w / 4.0, x0 + w / 4.0, y1).alias("ring"))
+    return n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("code"), F.col("r_name").alias("realm"), box_ring(x0, y1 - w / 4.0, x0 + F.when(F.col("n_nationkey") == 24, w / 8.0).otherwise(w / 4.0), y1).alias("ring"))
 
 
 def sql_regions(m: int = 20) -> str:
     w = m // 5
-    return f"select n_nationkey id, n_name code, r_name realm, (n_nationkey % 5) * {w} x0, (n_nationkey // 5) * {w} y0, (n_nationkey % 5) * {w} + {w} x1, (n_nationkey // 5) * {w} + {w} y1 from nation join region on n_regionkey = r_regionkey where n_nationkey < 24"
+    return f"select n_nationkey id, n_name code, r_name realm, (n_nationkey % 5) * {w} x0, (n_nationkey // 5) * {w} y0, (n_nationkey % 5) * {w} + case when n_nationkey = 24 then {w // 2} else {w} end x1, (n_nationkey // 5) * {w} + {w} y1 from nation join region on n_regionkey = r_regionkey"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
