@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -36,18 +37,33 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing path under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing path under the shared folder, within the innermost scratch folder if one is open."""
+    return "/".join([shared_root(spark), *_scratch, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder for all that is written meanwhile, deleted at the end; what comes out of it must be written elsewhere before."""
+    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([shared_root(spark), *_scratch])
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        _delete(spark, path)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and a lost executor costs nothing already written."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write go as soon as it ends
     try:
@@ -61,8 +77,11 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes a table that table() returned, once nothing will read it again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    _delete(df.sparkSession, df._written_to)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

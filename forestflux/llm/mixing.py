@@ -140,4 +140,4 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     same = Window.partitionBy("__h", "doc_id").orderBy("source")
     keyed = keyed.withColumn("__i", F.row_number().over(same).cast("long")).withColumn("__h", F.xxhash64("__h", "__i"))
     out = keyed.join(mixed, (keyed["__h"] == mixed["__k"]) & (keyed["__i"] == mixed["__n"]) & keyed["doc_id"].eqNullSafe(mixed["__d"]))
-    return out.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*docs.columns)
+    return out.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -73,13 +73,13 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
     found = docs.select(
-        "doc_id", "lang", "source", F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "doc_id", "lang", "source", F.xxhash64("doc_id", "text", "lang", "source").alias("row_key"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("again"))).alias("w"),
     )
     n, again = F.col("w.n"), F.col("w.again")
     failed = (n < 20) | (100 * again > 30 * n)
-    return found.select("doc_id", "lang", "source", n.alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"))
+    return found.select("doc_id", "lang", "source", "row_key", n.alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"))
 
 
 def _error(i: int, log_words: Column) -> Column:
@@ -177,7 +177,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, small:
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, **options) -> DataFrame:
-    """(doc_id, the base statistics, base_failed, distance, kept) for every row; distance is null where none was computed."""
+    """(doc_id, the base statistics, base_failed, distance, kept, row_key) for every row; distance is null where none was computed."""
     keyed = base_statistics(docs).withColumn("l", F.to_json(F.struct("lang"))).withColumn("g", F.to_json(F.struct("lang", "source")))
     stats = table(keyed.drop("lang", "source"), "quality-stats")
     groups = table(stats.where("not base_failed").groupBy("l", "g").agg(F.count(F.lit(1)).alias("n_g")), "quality-groups")
@@ -198,10 +198,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, **options
     out = rows.join(hint(found), "g", "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = (~F.col("base_failed")) & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), "row_key")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id has no rejected row, all columns as they are."""
-    bad = judge(docs, **options).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that are kept, all columns as they are; rows that share a doc_id are judged one by one."""
+    bad = judge(docs, **options).where("not kept").select(F.col("row_key").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64("doc_id", "text", "lang", "source") == F.col("__bad"), "left_anti")

@@ -253,3 +253,42 @@ def test_pipeline_stages(spark):
         docs = pipeline.table(after, "test")
     final = pipeline.STAGES[4][1](spark, docs, d)
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    """run() over odd documents (nulls, repeated rows and ids, empty and long texts, clashing columns) and over an empty table."""
+    import os
+
+    import corpus_pipeline as pipeline
+
+    df, rows = docs
+    for name, table in (("odd", df), ("none", df.limit(0))):
+        d = str(tmp_path / name)
+        table.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([("b1", " ".join(rows[9][1].split()[:12]))], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+        before = set(os.listdir(pipeline.shared_dir(spark, "x").removeprefix("file:").rpartition("/")[0]))
+        found = pipeline.run(spark, d).collect()
+        left = set(os.listdir(pipeline.shared_dir(spark, "x").removeprefix("file:").rpartition("/")[0])) - before
+        assert {x.rpartition("-")[0] for x in left} <= {"stage4", "tokens"}
+        if name == "none":
+            assert not found
+            continue
+        assert found[0].start == 0 or min(r.start for r in found) == 0
+        ids = {r.doc_id for r in found}
+        assert {1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 16} & ids == set()  # fail the base rules, are copies, or hold the benchmark
+        ends = sorted((r.start, r.n_tokens) for r in found)
+        assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+
+
+def test_good_rows_stay(spark):
+    """Rows that share an id are judged one by one."""
+    good = " ".join(f"word{i}" for i in range(60))
+    df = documents(spark, [(1, good, "en", "a"), (1, "short", "en", "a"), (None, good, "en", "a"), (None, None, "en", "a")])
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, good), (1, good)]
+
+
+def test_many_rules_under_one_host():
+    """A last segment is looked up by its beginnings, not by a scan of all rules that end there."""
+    trie = urls.UrlTrie([("block", "a.com", f"/x{i}") for i in range(20_000)])
+    assert trie.match("a.com", "/x12345678") == ("block", "a.com/x12345") and trie.match("a.com", "/y") is None
