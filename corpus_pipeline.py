@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 
 from forestflux.llm import decontam, jaccard, mixing, quality, tokens
-from forestflux.llm.common import release, table
+from forestflux.llm.common import drop_table, release, scratch, shared_dir, table
 from forestflux.llm.queries import tokenizer_path
 
 
@@ -47,9 +49,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = table(stage(spark, docs, sf_dir), f"stage{number}")
+    """Applies all stages to documents, each written as Parquet and read again; what a stage needs for itself goes with it.
+
+    Defined cases: an empty table stays empty; null texts and ids and repeated rows are judged row by row by each stage as its operator
+    states; columns beyond those of documents, whatever their names, pass through all stages but the last.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for number, (name, stage) in enumerate(STAGES):
+        path = shared_dir(spark, f"stage{number}")
+        with nullcontext() if stage is token_output else scratch(spark):  # the token files are a product
+            docs = table(stage(spark, docs, sf_dir), name, path=path)
+        if before is not None:
+            drop_table(before)
+        before = docs
         release(spark)
     return docs
