@@ -143,6 +143,26 @@ def test_archives(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_archive_headers(spark, tmp_path):
+    """A plain reader resolves revisits by standard headers; ids are unique, also of repeated rows; two writes differ in dates alone."""
+    import gzip
+
+    long = "payload " * 200
+    pages = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long), (2, "http://b", long), (3, "http://c", "short")], "page_id long, url string, html string")
+    texts = []
+    for run in ("x", "y"):
+        folder = f"file://{tmp_path}/{run}"
+        assert warc.write_archives(pages, folder, date=f"2024-01-01T00:00:0{len(texts)}Z").agg(F.sum("records")).first()[0] == 4
+        texts.append("".join(gzip.decompress(f.read_bytes()).decode() for f in sorted((tmp_path / run).glob("*.warc.gz"))))
+    assert texts[0].replace("00:00:00Z", "00:00:01Z") == texts[1]
+    records = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n") if ": " in x) for r in texts[0].split("WARC/1.1\r\n")[1:]]
+    ids = [r["WARC-Record-ID"] for r in records]
+    assert len(ids) == len(set(ids)) and sum(r["WARC-Type"] == "warcinfo" for r in records) == len(list((tmp_path / "x").glob("*.warc.gz")))
+    (revisit,) = [r for r in records if r["WARC-Type"] == "revisit"]
+    (to,) = [r for r in records if r["WARC-Record-ID"] == revisit["WARC-Refers-To"]]
+    assert to["WARC-Target-URI"] == revisit["WARC-Refers-To-Target-URI"] == "http://b" and to["WARC-Date"] == revisit["WARC-Refers-To-Date"]
+
+
 # ---------------------------------------------------------------- urls
 
 
