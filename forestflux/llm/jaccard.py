@@ -16,6 +16,8 @@ for, so no link is lost that would change one:
    together. What all members have in common has no weight any more, so the new groups are small, and step 1 starts again with them.
    Where |dx| + |dy| <= h the sets link whatever they share; one of the two then links with the head, and one such pair is enough.
 
+The joins of large tables are hinted to be sorted merges, as they have to be at scale: the plan is then the same at every size.
+
 Words are lower-cased (A-Z) runs of characters other than the six ASCII blanks; n-grams are told apart by 64-bit hashes, sets by 64-bit
 sums of them.
 
@@ -223,14 +225,14 @@ def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
 def node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given nodes, each from the document with the least id that has its set."""
     owners = sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ord", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(owners, "key")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(owners.hint("merge"), "key")
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
 
 
 def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order, low: int = 0, high: int | None = None) -> DataFrame:
     """(peer, fragment, node, size, grams): the n-grams of every node of peers (node, peers), once for each of its peers and fragments [low, high)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
-    rows = texts.join(peers, "node").select("node", "text", "peers")
+    rows = texts.join(peers.hint("merge"), "node").select("node", "text", "peers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shared.value
@@ -313,9 +315,9 @@ def _of_use(entries: DataFrame, per_cent: int) -> DataFrame:
     most = _most_apart(per_cent, F.col("size") + F.floor(100 * F.col("size") / F.lit(per_cent)))
     sides = entries.withColumn("smaller", _smaller_side(per_cent))
     least = sides.where("smaller").groupBy("gram").agg(F.min("dev").alias("least"))
-    sides = sides.join(least, "gram").where(F.col("smaller") | (F.col("dev") - 2 * F.col("place") + most >= F.col("least"))).drop("least")
+    sides = sides.join(least.hint("merge"), "gram").where(F.col("smaller") | (F.col("dev") - 2 * F.col("place") + most >= F.col("least"))).drop("least")
     groups = sides.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.col("smaller").cast("int")).alias("few"), _heads()).where("p <> q").drop("p", "q")
-    return sides.join(groups, "gram")
+    return sides.join(groups.hint("merge"), "gram")
 
 
 def _pairwise(entries: DataFrame, most: int) -> int:
@@ -369,7 +371,7 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     order = global_order(docs, n, total, shingles, fragments)
     first = table(prefixes(docs, n, per_cent, order), "prefixes")
     several = first.groupBy("gram").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("gram")
-    entries = first.join(several, "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("size").alias("dev"), F.first("place").alias("place"), F.first("node").alias("part"))
+    entries = first.join(several.hint("merge"), "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("size").alias("dev"), F.first("place").alias("place"), F.first("node").alias("part"))
     entries = table(entries, "entries")
     size = entries.count()
     drop_table(first)
@@ -378,7 +380,7 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     member = F.struct("node", "size", "dev", "place", "part")
     while True:
         heads = entries.groupBy("gram").agg(_heads())
-        near = entries.select("gram", member.alias("x")).join(heads, "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
+        near = entries.select("gram", member.alias("x")).join(heads.hint("merge"), "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
         near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
         pairs = table(near.unionByName(more).distinct(), "pairs")
         links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
@@ -440,6 +442,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("__key"), F.struct(*columns).alias("__row"))
     first = F.first if any("map<" in t for _, t in docs.dtypes) else F.min
-    one = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(first("__row").alias("__row"))
+    one = keyed.join(kept.hint("merge"), "__key", "left_semi").groupBy("__key").agg(first("__row").alias("__row"))
     rest = keyed.join(empty, "__key", "left_semi")
     return one.unionByName(rest).select("__row.*")
