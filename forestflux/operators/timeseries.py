@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CHANGE_F_THRESHOLD, CHANGE_P_THRESHOLD
 from ..functions.nulls import clip, safe_div, true
-from ..functions.stats import f_cdf_1_5, f_cdf_3_3
+from ..functions.stats import f_cdf_1_5, f_cdf_3_3, f_tail_1
 
 CELL = ("iy", "ix")
 
@@ -45,8 +45,8 @@ def z_scores(df: DataFrame, value: str, keys=CELL) -> DataFrame:
     return df.withColumn("z", safe_div(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
 
 
-def fill_axis(df: DataFrame, value: str, keys: list[str], axis: str) -> DataFrame:
-    """Fills NULLs along one axis.
+def fill_axis(df: DataFrame, value: str, keys: list[str], axis: str, max_gap: float | None = None) -> DataFrame:
+    """Fills NULLs along one axis; between known points only if they are at most max_gap apart, where that is given.
 
     Between known points linearly; outside, along the line of the two nearest known points. A single known point spreads to its
     direct neighbours, which then make the line constant; a series without any stays NULL.
@@ -69,7 +69,7 @@ def fill_axis(df: DataFrame, value: str, keys: list[str], axis: str) -> DataFram
         .when(F.col("__n") == 1, F.col("__f1.v"))
         .when(a.isNull(), line(F.col("__f1"), F.col("__f2")))
         .when(b.isNull(), line(F.col("__l2"), F.col("__l1")))
-        .otherwise(line(a, b))
+        .otherwise(line(a, b) if max_gap is None else F.when(b["t"] - a["t"] <= max_gap, line(a, b)))
     )
     return rows.withColumn(value, filled).drop("__p", "__n", "__a", "__b", *ends)
 
@@ -84,12 +84,22 @@ def fill_gaps(df: DataFrame, value: str) -> DataFrame:
 
 
 def linear_regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """slope, intercept and residual sum of squares per key; a single point has slope 0 and its own value as the intercept."""
+    """slope, intercept, residual sum of squares and p-value per key; a single point has slope 0, its own value as the intercept and p 0.
+
+    The p-value is that of the line against the mean; a line through all points that explains something has 0, two points have none.
+    """
     one = F.count(F.lit(1)) == 1
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     slope, intercept = F.regr_slope(b, a), F.regr_intercept(b, a)
-    rss = F.regr_syy(b, a) - safe_div(F.regr_sxy(b, a) * F.regr_sxy(b, a), F.regr_sxx(b, a))
-    return df.groupBy(*keys).agg(F.when(one, 0.0).otherwise(slope).alias("slope"), F.when(one, F.avg(b)).otherwise(intercept).alias("intercept"), F.when(one, 0.0).otherwise(F.greatest(rss, F.lit(0.0))).alias("rss"), F.count(F.lit(1)).alias("n"))
+    rss = F.greatest(F.regr_syy(b, a) - safe_div(F.regr_sxy(b, a) * F.regr_sxy(b, a), F.regr_sxx(b, a)), F.lit(0.0))
+    fits = df.groupBy(*keys).agg(
+        F.when(one, 0.0).otherwise(slope).alias("slope"), F.when(one, F.avg(b)).otherwise(intercept).alias("intercept"), F.when(one, 0.0).otherwise(rss).alias("rss"),
+        F.count(F.lit(1)).alias("n"), F.regr_syy(b, a).alias("__tss"),
+    )
+    left = (F.col("n") - 2).cast("int")
+    ratio = _f_ratio(F.greatest(F.col("__tss") - F.col("rss"), F.lit(0.0)), F.col("rss") / left)
+    p = F.when(F.col("n") == 1, 0.0).when(left >= 1, F.when(ratio == float("inf"), 0.0).otherwise(f_tail_1(ratio, left)))
+    return fits.withColumn("pvalue", p).drop("__tss")
 
 
 def _fit(v: Column, low: int, high: int) -> tuple[Column, Column, Column]:
@@ -127,15 +137,17 @@ def _p_value(f: Column, cdf) -> Column:
     return F.when(f == float("inf"), 0.0).otherwise(1.0 - cdf(f))
 
 
-def change_points(df: DataFrame, value: str = "agb", keys=CELL, f_threshold: float = CHANGE_F_THRESHOLD, p_threshold: float = CHANGE_P_THRESHOLD) -> DataFrame:
-    """Break detection in series of exactly seven yearly values.
+def change_points(df: DataFrame, value: str = "agb", keys=CELL, f_threshold: float = CHANGE_F_THRESHOLD, p_threshold: float = CHANGE_P_THRESHOLD, strict: bool = True) -> DataFrame:
+    """Break detection in series of exactly seven yearly values; any other length is an error, or left out if not strict. So are series with a NULL left out.
 
     For every break 1..6 a line is fitted to each side; the break with the greatest F against the single line wins, the earliest of
     equals, and counts if F exceeds the threshold. The p-value compares the chosen model with the mean, and the prediction is that
     model where it is significant, else the mean. One row per key: breakpoint (NULL if none), max_f, pvalue, prediction (array).
     """
     series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("year", F.col(value).cast("double").alias("v")))).alias("s"))
-    series = series.where(F.size("s") == 7).withColumn("v", F.transform("s", lambda p: p["v"])).where(~F.exists("v", lambda x: x.isNull())).drop("s")
+    seven = F.size("s") == 7
+    series = series.withColumn("s", F.when(seven, F.col("s")).otherwise(F.raise_error(F.lit("a series is not of seven years")))) if strict else series.where(seven)
+    series = series.withColumn("v", F.transform("s", lambda p: p["v"])).where(~F.exists("v", lambda x: x.isNull())).drop("s")
     v = F.col("v")
     pieces = [(0, 7), *[(0, k) for k in range(1, 7)], *[(k, 7) for k in range(1, 7)]]
     fits = {}
