@@ -45,6 +45,15 @@ def regional_totals(df: DataFrame, names: DataFrame, values: list[str]) -> DataF
     return out.select("code", F.make_date("year", F.lit(1), F.lit(1)).alias("begin_date"), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)).alias("end_date"), *values)
 
 
+def regional_totals_of_years(df: DataFrame, names: DataFrame, values: list[str], first: int, last: int) -> DataFrame:
+    """Like regional_totals for rows of which each has a value in one year at most (NULL for none): all years of each region, 0 without rows."""
+    total = df.where(F.col("region").isNotNull()).groupBy("region", "year").agg(*[F.sum(v).alias(v) for v in values])
+    known = F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", F.struct(*values).alias("v"))))
+    each = total.groupBy("region").agg(F.map_from_entries(known).alias("m")).withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    each = each.withColumn("v", F.element_at("m", F.col("year")))
+    return regional_totals(each.select("region", "year", *[F.coalesce(F.col(f"v.{v}"), F.lit(0.0)).alias(v) for v in values]), names, values)
+
+
 def weighted_mean(df: DataFrame, keys: list[str], value: str, area: str, name: str | None = None) -> DataFrame:
     """Sum of value * area over the sum of all area, also where the value is NULL."""
     return df.groupBy(*keys).agg(safe_div(F.sum(F.col(value) * F.col(area)), F.sum(area)).alias(name or value))

@@ -18,6 +18,19 @@ def emissions_by_loss_year(static: DataFrame, first: int, last: int, amount: str
     return rows.withColumn("emissions", F.col(amount) * here * TC_PER_TBM * TCO2_PER_TC)
 
 
+def lost_cells(static: DataFrame, fire: DataFrame, first: int, last: int, amount: str = "agb") -> DataFrame:
+    """A row per cell: the year in [first, last] it was lost in (NULL if in none), its emissions, and is_fire: burned in that year or the one before.
+
+    What emissions_by_loss_year and fire attribution give over all years is 0 but in the year of loss, so totals need no row per cell and
+    year, and the look back is a join with burns of two years rather than a sort of every series. fire: iy, ix, year, burned.
+    """
+    year = F.when(F.col("lossyear").between(first, last), F.col("lossyear"))
+    burns = fire.where(F.col("burned").cast("int") > 0).where(F.col("year").between(first, last))
+    burns = burns.select("iy", "ix", F.explode(F.array(F.col("year"), F.col("year") + 1)).alias("year")).distinct().withColumn("is_fire", F.lit(True))
+    cells = static.withColumn("year", year).withColumn("emissions", F.when(F.col("year").isNotNull(), F.col(amount) * TC_PER_TBM * TCO2_PER_TC))
+    return cells.join(burns, ["iy", "ix", "year"], "left").withColumn("is_fire", F.coalesce("is_fire", F.lit(False)))
+
+
 def split_by_fire(df: DataFrame, total: str = "emissions", flag: str = "is_fire") -> DataFrame:
     """Adds emissions_fire (attributed to fire, else 0) and emissions_clearing (the rest)."""
     fire = F.when(true(F.col(flag)), F.col(total)).otherwise(0.0)

@@ -15,13 +15,11 @@ def country_emissions(static: DataFrame, fire: DataFrame, countries: DataFrame,
 
     static: iy, ix, lat, lon, agb, lossyear; fire: iy, ix, year, burned; countries: id, code, ring.
     """
-    cells = emissions.emissions_by_loss_year(static, first, last)
-    flags = fire.select("iy", "ix", "year", "burned")
-    split = emissions.split_by_fire(timeseries.attribute_to_fire(cells.join(flags, ["iy", "ix", "year"], "left")))
+    split = emissions.split_by_fire(emissions.lost_cells(static, fire, first, last))
     values = ["emissions", "emissions_fire", "emissions_clearing"]
     area = cell_area_ha(F.col("lat"), step, step)
     masked = joins.polygon_mask(split, countries).withColumns({v: F.col(v) * area for v in values})
-    return aggregate.regional_totals(masked, countries.select(F.col("id").alias("region"), "code"), values)
+    return aggregate.regional_totals_of_years(masked, countries.select(F.col("id").alias("region"), "code"), values, first, last)
 
 
 def lidar_biomass(shots: DataFrame, ancillary: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("record_index", "shot_number")) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import cell_area_ha
 from ..operators import aggregate, emissions, fire, joins, timeseries
+from ..plans import pipelines
 from ..sources import adapters as A
 from .registry import query
 
@@ -40,11 +41,9 @@ _SPLIT = f"select *, {A.SQL_POSITION}, case when is_fire then emissions else 0.0
 )
 def country_rollup(spark, d):
     """Loss-year emissions, weighted by cell area, summed per country polygon and year."""
-    cells = _split(spark, d)
-    regions = A.regions(spark, d)
-    masked = joins.polygon_mask(cells, regions).withColumns({"emissions": F.col("emissions") * F.col("area"), "emissions_fire": F.col("emissions_fire") * F.col("area")})
-    out = aggregate.regional_totals(masked, F.broadcast(regions.select(F.col("id").alias("region"), "code")), ["emissions", "emissions_fire"])
-    return out.withColumns({c: F.round(c, 2) for c in ("emissions", "emissions_fire")})
+    static, fire = A.with_position(A.static_raster(spark, d)), A.burned(spark, d).withColumn("burned", F.lit(1))
+    out = pipelines.country_emissions(static, fire, A.regions(spark, d), 2001, 2007, 0.25)
+    return out.select("code", "begin_date", "end_date", *[F.round(c, 2).alias(c) for c in ("emissions", "emissions_fire")])
 
 
 @query("m1_emissions_by_loss_year", f"select ix, iy, year, round(emissions, 6) emissions from ({_EMISSIONS})")
