@@ -388,6 +388,11 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return doc_ids, nulls.astype(bool), lengths.astype(np.int64), ids
 
 
+def _numbers(name: str) -> list[int]:
+    """Task and file number of a name; as numbers they sort rightly however many there are."""
+    return [int(x) for x in re.findall(r"\d+", name)]
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int) -> DataFrame:
     """Writes token files of all documents under folder, in ascending doc_id order; returns (file, base) of each file.
 
@@ -427,7 +432,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
             flush()
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in done], pa.string()), "tokens": pa.array([x[1] for x in done], pa.int64()), "docs": pa.array([x[2] for x in done], pa.int64())})
 
-    files = sorted(parts.mapInArrow(write, "file string, tokens long, docs long").collect())
+    files = sorted(parts.mapInArrow(write, "file string, tokens long, docs long").collect(), key=lambda f: _numbers(f["file"]))
     base, out = 0, []
     for f in files:
         out.append((f["file"], base))

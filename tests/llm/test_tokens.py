@@ -60,3 +60,8 @@ def test_query_columns(docs):
 
 def test_empty_table(docs):
     assert tokens.encode_and_read(docs[0].limit(0), tokenizer_path()).count() == 0
+
+
+def test_files_sort_by_number():
+    names = ["part-1000000-0000.tok", "part-999999-0001.tok", "part-999999-0000.tok", "part-000002-0010.tok", "part-000002-10000.tok"]
+    assert sorted(names, key=tokens._numbers) == [names[3], names[4], names[2], names[1], names[0]]
