@@ -278,8 +278,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Kernel, earlier: boo
         which, value, first, last = which[use], value[use], first[use], last[use]
         return pa.table({"context": pa.array(context[which]), "value": pa.array(value), "s": pa.array((first - lead[which]).astype(np.int32)), "e": pa.array((last - lead[which] + scheme.length).astype(np.int32))})
 
-    hard = hard.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets)))
-    decided = hard.groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int")
+    decided = hard.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(decide, "context long, value long, s int, e int")
     runs = table(plain.unionByName(decided), "runs", "zstd")
     drop_table(merged)
     drop_table(hard)
