@@ -210,7 +210,8 @@ def burned_after(acquired_year: Column, burn_date: Column, before: bool = False)
 
 
 def assign_equations(df: DataFrame) -> DataFrame:
-    return df.withColumn("eco_group", F.expr(group_sql())).withColumn("allometric_eq", F.expr(assignment_sql())).drop("eco_group")
+    # a lambda over one value, so that the group is found once and not in every branch
+    return df.withColumn("allometric_eq", F.expr(f"element_at(transform(array({group_sql()}), eco_group -> {assignment_sql()}), 1)"))
 
 
 def coefficients(spark: SparkSession) -> DataFrame:
@@ -224,9 +225,9 @@ def calculate_biomass(df: DataFrame) -> DataFrame:
 
     Linear equations are one sum over their terms, so the code does not grow with their number; the table of them is of fixed size.
     """
-    curve = F.lit(None).cast("double")
-    for name, text in CURVED.items():
-        curve = F.when(F.col("allometric_eq") == name, F.expr(text)).otherwise(curve)
+    # a lambda over one value, so that the optimizer never repeats the assignment in each branch
+    branches = " ".join(f"when '{name}' then {text}" for name, text in CURVED.items())
+    curve = F.expr(f"element_at(transform(array(allometric_eq), eq -> case eq {branches} end), 1)")
     rows = df.where(member(F.col("allometric_eq"), EQUATIONS)).join(F.broadcast(coefficients(df.sparkSession)), "allometric_eq", "left")
     rows = rows.withColumn("__metrics", F.array(*[F.col(m).cast("double") for m in METRICS]))
     line = F.aggregate("terms", F.col("constant"), lambda total, t: total + t["c"] * F.get("__metrics", t["at"]), lambda total: total * F.col("factor"))
