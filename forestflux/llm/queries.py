@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, decontam, html, jaccard, mixing, quality, suffixes, tokens, urls, warc
+from . import automata, decontam, html, jaccard, mixing, quality, runs, suffixes, tokens, urls, warc, whitening
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -70,6 +70,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse(_read(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_quality": op2_quality,
@@ -81,6 +89,8 @@ QUERIES = {
     "op8_automaton_dedup": op8_automaton_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
+    "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
 }
 
 # ---------------------------------------------------------------- the same in DuckDB SQL
