@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, decontam, html, jaccard, mixing, quality, runs, suffixes, tokens, urls, warc, whitening
+from . import automata, decontam, html, jaccard, mixing, pitman_yor, quality, runs, suffixes, tokens, urls, warc, whitening
 
 #: (verdict, host, path); the order has no meaning.
 URL_RULES = [
@@ -70,6 +70,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_read(spark, sf_dir, "documents"), F.expr("crc32(coalesce(cast(doc_id as string), '')) % 7 = 2"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse(_read(spark, sf_dir, "documents"), planted=True)
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_automaton_dedup": op8_automaton_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_runs": op12_runs,
     "op13_whitening": op13_whitening,
 }
