@@ -41,7 +41,7 @@ BURN_IN, KEPT = 2, 2
 #: Customers of a dish up to which their tables are drawn from the exact distribution.
 EXACT = 512
 #: Bytes of text hashed at once, tokens in a slice, and tokens of the corpus for a bucket of pairs and one of words.
-CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 3_000_000, 2_000_000, 4_000_000, 8_000_000
+CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 2_000_000, 1_000_000, 2_000_000, 4_000_000
 #: Concentrations to choose from.
 GRID = np.geomspace(0.01, 1e6, 40)
 #: What stands for the end of a text, and for what is before its first word.
@@ -67,6 +67,28 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) for keys of so many bits: one sort of keys that hold their places, if there is room for these."""
+    room = max(1, len(keys) - 1).bit_length()
+    low = bits + room - 63
+    if low > 0 and bits < 64 or low > 24:
+        return np.unique(keys, return_inverse=True)
+    # of keys that fill all bits the last are left out of the sort, and what then looks equal is compared
+    cut = np.uint64(max(0, low))
+    packed = ((keys.astype(np.uint64) >> cut) << np.uint64(room)) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    at = (packed & np.uint64((1 << room) - 1)).astype(np.int64)
+    packed >>= np.uint64(room)
+    new = np.ones(len(keys), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    values = keys[at[new]]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    if low > 0 and not np.array_equal(values[inverse], keys):
+        return np.unique(keys, return_inverse=True)
+    return values, inverse
+
+
 def _bits(tokens: float, each: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, tokens / each))))
 
@@ -217,7 +239,7 @@ def _slices(docs: DataFrame, held_out: Column, word_bits: int) -> DataFrame:
 
         def emit() -> pa.RecordBatch:
             tokens, lengths = np.concatenate(hashes), np.array(lens, np.int64)
-            words, stream = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+            words, stream = distinct(np.append(tokens, BEGIN), 64)
             trains = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(stream[:-1][trains], minlength=len(words))
             counts[stream[-1]] = len(held) - sum(held)  # documents begun
@@ -282,7 +304,7 @@ class _Slice:
         before = np.empty_like(self.stream)
         before[1:] = self.stream[:-1]
         before[np.cumsum(self.lens) - self.lens] = begin[0]
-        pairs, self.pair = np.unique(before * n + self.stream, return_inverse=True)
+        pairs, self.pair = distinct(before * n + self.stream, 2 * n.bit_length())
         u, w = pairs // n, pairs % n
         bucket = _pair_bucket(self.numbers[u], self.numbers[w], bits)
         order = np.argsort(bucket, kind="stable")
@@ -301,15 +323,12 @@ def _pairs_step(word_bits: int, ask: bool):
     def step(b: int, rows: list) -> Iterator[tuple]:
         parts = [unpack(data) for *_, data in rows]
         u, w, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
-        first = np.ones(len(u), bool)
-        first[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(first)
-        u, w, c = u[at], w[at], np.add.reduceat(c, at)
-        once = c == 1
-        words = np.unique(np.concatenate([u, w]))
-        iu, iw = np.searchsorted(words, u), np.searchsorted(words, w)
+        del parts, rows
+        words, at = distinct(np.concatenate([u, w]), PLACE_BITS + word_bits)
+        keys, at = distinct(at[: len(u)] * len(words) + at[len(u) :], 2 * len(words).bit_length())
+        c = np.bincount(at, c, len(keys)).astype(np.int64)
+        iu, iw = keys // len(words), keys % len(words)
+        u, w, once = words[iu], words[iw], c == 1
         tables1, dishes1 = np.bincount(iu[once], minlength=len(words)), np.bincount(iw[once], minlength=len(words))
         tables2, dishes2 = np.bincount(iu[~once], minlength=len(words)), np.bincount(iw[~once], minlength=len(words))
         asks = tables2 + dishes2 > 0
