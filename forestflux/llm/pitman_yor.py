@@ -41,7 +41,7 @@ BURN_IN, KEPT = 2, 2
 #: Customers of a dish up to which their tables are drawn from the exact distribution.
 EXACT = 512
 #: Bytes of text hashed at once, tokens in a slice, and tokens of the corpus for a bucket of pairs and one of words.
-CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 2_000_000, 1_000_000, 2_000_000, 4_000_000
+CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 1_500_000, 500_000, 1_000_000, 4_000_000
 #: Concentrations to choose from.
 GRID = np.geomspace(0.01, 1e6, 40)
 #: What stands for the end of a text, and for what is before its first word.
@@ -539,7 +539,8 @@ def score(docs: DataFrame, held_out: Column, seed: int = 0) -> DataFrame:
             first = np.searchsorted(u, words)
             key = np.searchsorted(words, u) * np.int64(1 << 31) + _dense(w)[0]
             spread = _dense(w)[1]
-        for _, src, kind, data in rows:
+        while rows:
+            _, src, kind, data = rows.pop()
             if kind == "pair":
                 own_u, own_w = unpack(data)
                 n = np.zeros(len(own_u), np.int64)
@@ -574,6 +575,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 0) -> DataFrame:
         own = next(r for r in rows if r["kind"] == "slice")
         s = _Slice(own["data"], own["lens"], own["held"], pair_bits)
         answers = {kind: [unpack(r["data"]) for r in sorted(rows, key=lambda r: r["b"]) if r["kind"] == kind] for kind in ("word", "pair")}
+        del rows
         by_word, by_pair = ([np.concatenate(x) for x in zip(*answers[kind], strict=True)] for kind in ("word", "pair"))
         context, c = s.counts[s.u], by_pair[0]
         p = np.zeros(len(c))
