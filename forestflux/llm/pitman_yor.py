@@ -22,10 +22,13 @@ one unknown token; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 import random
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +44,14 @@ BURN_IN, KEPT = 2, 2
 #: Customers of a dish up to which their tables are drawn from the exact distribution.
 EXACT = 512
 #: Bytes of text hashed at once, tokens in a slice, and tokens of the corpus for a bucket of pairs and one of words.
-CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 1_500_000, 500_000, 1_000_000, 4_000_000
+CHUNK_BYTES, SLICE_TOKENS, PAIR_TOKENS, WORD_TOKENS = 1_000_000, 500_000, 1_500_000, 4_000_000
+#: Rows of a batch that are taken out of it at once.
+ROWS = 256
 #: Concentrations to choose from.
 GRID = np.geomspace(0.01, 1e6, 40)
 #: What stands for the end of a text, and for what is before its first word.
 END, BEGIN = np.uint64(0x9D4C0A55E0F1B3A7), np.uint64(0x51ED270B9C6F2E15)
-PLACE_BITS = 40
+PLACE_BITS = 26
 MESSAGE = "b int, src long, kind string, data binary"
 
 
@@ -54,16 +59,30 @@ MESSAGE = "b int, src long, kind string, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; bytes of equal weight stand together, which makes small numbers small."""
-    planes = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) for a in arrays]
-    return zstandard.compress(pickle.dumps(planes), 1)
+    """Arrays as bytes: whole numbers in as few bytes as they need, and bytes of equal weight together, which makes them small."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu" and len(a) and a.max() < 1 << 32:
+            a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if int(a.max()) < 1 << 8 * t().itemsize))
+        size = a.dtype.itemsize
+        planes = a.view(np.uint8).reshape(len(a), size).T if a.dtype.kind == "u" and 1 < size < 8 else a
+        out.append((a.dtype.str, planes.tobytes()))
+    return zstandard.compress(pickle.dumps(out), 1)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """What pack() was given; whole numbers under 2**32 as int64."""
     out = []
     for kind, raw in pickle.loads(zstandard.decompress(data)):
         size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel())
+        if kind[1] == "u" and size < 8:
+            planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+            a = planes[0].astype(np.int64)
+            for i in range(1, size):
+                a |= planes[i].astype(np.int64) << (8 * i)
+            out.append(a)
+        else:
+            out.append(np.frombuffer(raw, kind))
     return out
 
 
@@ -89,6 +108,12 @@ def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return values, inverse
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _bits(tokens: float, each: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, tokens / each))))
 
@@ -133,6 +158,8 @@ def _gathered(found: DataFrame, by: str, step) -> DataFrame:
         rows = sorted(zip(part["src"].to_pylist(), part["kind"].to_pylist(), part["b"].to_pylist(), part["data"].to_pylist(), strict=True), key=lambda r: (r[1], r[0], r[2]))
         key = part[by][0].as_py()
         out = list(_messages(step(key, [(b, src, kind, data) for src, kind, b, data in rows]), 1 << 30))
+        del rows
+        trim()
         return pa.Table.from_batches(out) if out else pa.table({"b": pa.array([], pa.int32()), "src": pa.array([], pa.int64()), "kind": pa.array([], pa.string()), "data": pa.array([], pa.binary())})
 
     return found.groupBy(by).applyInArrow(run, MESSAGE)
@@ -159,39 +186,36 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
-_seatings: dict[tuple[float, int], np.ndarray] = {}
-
-
-def log_seatings(d: float, most: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def log_seatings(d: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of the weights of all seatings of c customers at t tables, [c, t]; a table of n has (1-d)(2-d)..(n-1-d)."""
-    if (d, most) not in _seatings:
-        out = np.full((most + 1, most + 1), -np.inf)
-        out[0, 0] = 0
-        t = np.arange(most + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for c in range(most):
-                stay = np.where(c - d * t > 0, np.log(np.maximum(c - d * t, 1e-300)), -np.inf) + out[c]
-                out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c, :-1]]), stay)
-        _seatings.clear()
-        _seatings[d, most] = out
-    return _seatings[d, most]
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(most):
+            stay = np.where(c - d * t > 0, np.log(np.maximum(c - d * t, 1e-300)), -np.inf) + out[c]
+            out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c, :-1]]), stay)
+    return out
 
 
 def draw_tables(c: np.ndarray, lam: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Numbers of tables of dishes with c customers, each seating weighing lam to the number of tables (and see log_seatings)."""
     out = np.ones(len(c), np.int64)
     out[c == 0] = 0
-    some = np.flatnonzero((c >= 2) & (c <= EXACT))
+    two = np.flatnonzero(c == 2)
+    out[two] += rng.random(len(two)) * (lam[two] + (1 - d)) < lam[two]
+    some = np.flatnonzero((c > 2) & (c <= EXACT))
     some = some[np.argsort(c[some], kind="stable")]
-    most = int(c[some[-1]]) if len(some) else 0
-    weights = log_seatings(d, 1 << max(1, most).bit_length()) if most else None
+    weights = log_seatings(d) if len(some) else None
     for n, part in _cuts(c[some]):
-        t = np.arange(1, n + 1)
+        t = np.arange(1, n + 1)[:, None]
         for at in range(part.start, part.stop, max(1, 1_000_000 // n)):
             rows = some[at : min(part.stop, at + max(1, 1_000_000 // n))]
-            w = weights[n, 1 : n + 1] + np.log(lam[rows])[:, None] * t
-            w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
-            out[rows] = 1 + (w < rng.random(len(rows))[:, None] * w[:, -1:]).sum(1)
+            w = weights[n, 1 : n + 1, None] + np.log(lam[rows]) * t
+            w -= w.max(0)
+            w = np.cumsum(np.exp(w, out=w), axis=0, out=w)
+            out[rows] = 1 + (w < rng.random(len(rows)) * w[-1]).sum(0)
     rows = np.flatnonzero(c > EXACT)
     if len(rows):
         n, mu = c[rows].astype(float), lam[rows] / d
@@ -247,7 +271,7 @@ def _slices(docs: DataFrame, held_out: Column, word_bits: int) -> DataFrame:
             key = TaskContext.get().partitionId() << 32 | number
             return pa.record_batch([pa.array([key], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["src", "ids", "held", "lens", "data"])
 
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             id_type = batch.schema.field("doc_id").type
             texts = batch_texts(batch.column("text"))
             all_ids, all_held = batch.column("doc_id").to_pylist(), batch.column("held").to_pylist()
@@ -269,6 +293,7 @@ def _slices(docs: DataFrame, held_out: Column, word_bits: int) -> DataFrame:
                 if size >= SLICE_TOKENS:
                     yield emit()
                     ids, held, lens, hashes, size, number = [], [], [], [], 0, number + 1
+                    trim()
         if ids:
             yield emit()
 
@@ -307,7 +332,7 @@ class _Slice:
         pairs, self.pair = distinct(before * n + self.stream, 2 * n.bit_length())
         u, w = pairs // n, pairs % n
         bucket = _pair_bucket(self.numbers[u], self.numbers[w], bits)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.pair, self.u, self.w, self.bucket = place[self.pair], u[order], w[order], bucket[order]
@@ -532,7 +557,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 0) -> DataFrame:
         drawn = [unpack(data)[0] for _, _, kind, data in rows if kind == "tables"]
         if state is not None:
             u, w, c = state[:3]
-            tables = [np.ones(len(c), np.uint32) for _ in drawn]
+            tables = [np.ones(len(c), np.int64) for _ in drawn]
             for t, x in zip(tables, drawn, strict=True):
                 t[c > 1] = x
             words = np.unique(u)
@@ -544,7 +569,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 0) -> DataFrame:
             if kind == "pair":
                 own_u, own_w = unpack(data)
                 n = np.zeros(len(own_u), np.int64)
-                t = [np.zeros(len(own_u), np.uint32) for _ in range(KEPT)]
+                t = [np.zeros(len(own_u), np.int64) for _ in range(KEPT)]
                 if state is not None and len(u):
                     iu = np.minimum(np.searchsorted(words, own_u), len(words) - 1)
                     iw = np.minimum(np.searchsorted(spread, own_w), len(spread) - 1)
