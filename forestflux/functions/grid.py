@@ -101,12 +101,30 @@ def utm_band(lat: Column) -> Column:
     return F.when((lat >= -80) & (lat <= 84), F.substring(F.lit(letters), index + 1, F.lit(1)))
 
 
+#: Southern edges of the UTM latitude bands, and the northern edge of the last.
+BAND_EDGES = [*range(-80, 80, 8), 84]
+FALSE_NORTHING = 10_000_000.0
+_A, _F = 6378137.0, 1 / 298.257223563
+_N = _F / (2 - _F)
+_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_SCALE = 0.9996
+
+
+def spans_band_edge(min_lat: Column, max_lat: Column) -> Column:
+    """Whether latitudes reach over an edge of the bands; touching one with an end is not over it, lying on one as a whole is."""
+    edges = F.array(*[F.lit(float(e)) for e in BAND_EDGES])
+    return F.exists(edges, lambda e: ((e < max_lat) & (e > min_lat)) | ((e == max_lat) & (e == min_lat)))
+
+
+def utm_zone(lon: Column) -> Column:
+    """Number of the regular 6-degree zone."""
+    return (F.floor((wrap_longitude(lon) + 180) / 6) + 1).cast("int")
+
+
 def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing (WGS84, series in the third flattening) without the southern false northing."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    """Easting and northing (WGS84, series to the fourth power of the third flattening) without the southern false northing."""
+    n = _N
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
     e = 2 * math.sqrt(n) / (1 + n)
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(F.atanh(F.sin(phi)) - F.lit(e) * F.atanh(F.lit(e) * F.sin(phi)))
@@ -115,4 +133,24 @@ def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]
     for j, x in enumerate(alpha, 1):
         east = east + x * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + x * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * radius * east, 0.9996 * radius * north
+    return 500000 + _SCALE * _RADIUS * east, _SCALE * _RADIUS * north
+
+
+def utm_inverse(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+    """Latitude and longitude (WGS84) of an easting and a northing without the southern false northing.
+
+    Longitudes go on beyond 180 degrees from the zone's meridian; wrap_longitude brings them back.
+    """
+    n = _N
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi, eta = north / (_SCALE * _RADIUS), (east - 500000) / (_SCALE * _RADIUS)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183)

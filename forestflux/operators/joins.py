@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, boxes_overlap, in_ring
+from ..functions.geometry import boxes_overlap
 from ..functions.grid import nearest_key, nearest_year
+from .polygons import points_in
 
 
 def nearest_lookup(points: DataFrame, grid: DataFrame, value: str, lat0: float, dlat: float, nlat: int, lon0: float, dlon: float, nlon: int, years: tuple[int, int] | None = None, lat: str = "lat", lon: str = "lon", cast: str | None = None) -> DataFrame:
@@ -30,24 +31,17 @@ def within(value: Column, lat: Column, lon: Column, cell_lat: Column, cell_lon:
     return F.when((F.abs(lat - cell_lat) <= tolerance) & (F.abs(lon - cell_lon) <= tolerance), value)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: float = 5.0, how: str = "inner") -> DataFrame:
-    """Every pair of a point and a polygon (ring and other columns) that holds it; how="first" keeps the polygon with the least id.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, how: str = "inner") -> DataFrame:
+    """Every pair of a point and a polygon (id, ring or rings, and other columns) that holds it; how="first" keeps the least id.
 
-    Polygons are exploded to the coarse cells their boxes touch, points fall in one cell each: an equi-join finds candidates, and
-    ray casting decides.
+    Points meet cells of a quad-tree cover, never rings; the polygons' other columns are joined by id.
     """
-    b = bounds(F.col("ring"))
-    span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int"))
-    shapes = polygons.withColumn("__cx", F.explode(span(b["min_x"], b["max_x"]))).withColumn("__cy", F.explode(span(b["min_y"], b["max_y"])))
-    rows = points.withColumn("__cx", F.floor(F.col(x) / cell).cast("int")).withColumn("__cy", F.floor(F.col(y) / cell).cast("int"))
-    hit = in_ring(F.col(x).cast("double"), F.col(y).cast("double"), F.col("ring"))
-    out = rows.join(shapes, ["__cx", "__cy"]).where(hit).drop("__cx", "__cy", "ring")
+    whole = polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
+    found = points_in(points, whole, x, y)
     if how == "first":
-        own = [c for c in points.columns]
-        extra = [c for c in polygons.columns if c != "ring"]
-        out = out.groupBy(*own).agg(F.min(F.struct(F.col("id"), *[F.col(c) for c in extra if c != "id"])).alias("__m"))
-        out = out.select(*own, *[F.col("__m")[c].alias(c) for c in extra])
-    return out
+        found = found.groupBy(*points.columns).agg(F.min("id").alias("id"))
+    names = polygons.drop("ring", "rings")
+    return found.join(names.dropDuplicates(["id"]), "id").select(*points.columns, *names.columns) if len(names.columns) > 1 else found
 
 
 def polygon_mask(cells: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box_ring
 from ..functions.grid import cell_area_ha
-from ..operators import aggregate, emissions, fire, joins, timeseries
+from ..operators import aggregate, emissions, fire, joins, polygons, timeseries
 from ..plans import pipelines
 from ..sources import adapters as A
 from .registry import query
@@ -108,7 +109,62 @@ def d6(spark, d):
 
 @query("c6_polygon_mask", f"with r as ({A.sql_regions()}) select ix, iy, min(id) region from (select distinct ix, iy from ({A.sql_static(40)})) left join r on ix >= x0 and ix < x1 and iy >= y0 and iy < y1 group by ix, iy")
 def c6(spark, d):
-    return joins.polygon_mask(A.with_position(A.static_raster(spark, d, 40)), A.regions(spark, d)).select("ix", "iy", "region")
+    layer = A.regions(spark, d).select("id", F.array("ring").alias("rings"))
+    return polygons.mask(A.static_raster(spark, d, 40), layer, A.GRID).select("ix", "iy", "region")
+
+
+#: A frame per nation: a rectangle with a rectangular hole, no side of which lies on a cell's edge.
+_FRAMES = "select n_nationkey id, n_name code, (n_nationkey % 5) * 2.0::double - 0.07::double x0, (n_nationkey % 5) * 2.0::double + 1.56::double x1, 8.62::double - (n_nationkey // 5) * 2.0::double y0, 10.03::double - (n_nationkey // 5) * 2.0::double y1 from nation"
+
+
+def _frames(spark, d):
+    k = F.col("n_nationkey")
+    x0, y0 = (k % 5) * 2.0 - 0.07, F.lit(8.62) - F.floor(k / 5) * 2.0
+    rings = F.array(box_ring(x0, y0, x0 + 1.63, y0 + 1.41), box_ring(x0 + 0.31, y0 + 0.31, x0 + 1.32, y0 + 1.1))
+    return A.read(spark, d, "nation").select(k.alias("id"), F.col("n_name").alias("code"), rings.alias("rings"))
+
+
+def _overlap(inset: float) -> str:
+    side = lambda low, high, a, b: f"greatest(0.0::double, least({high} - {inset}::double, {b}) - greatest({low} + {inset}::double, {a}))"
+    return f"{side('x0', 'x1', 'ix / 4.0::double', '(ix + 1) / 4.0::double')} * {side('y0', 'y1', '10 - (iy + 1) / 4.0::double', '10 - iy / 4.0::double')}"
+
+
+@query(
+    "d27_clipped_totals",
+    f"with g as (select *, {_AREA} area from (select *, {A.SQL_POSITION} from ({A.sql_pixel_year(40)}))), f as ({_FRAMES}), s as (select *, ({_overlap(0.0)} - {_overlap(0.31)}) * 16 share from g, f)"
+    " select code, year, round(sum(agb * area * share) / 1e6, 6) megatonnes, round(sum(area * share), 4) hectares from s where share > 0 group by code, year",
+)
+def d27(spark, d):
+    """Totals of cells clipped to polygons with holes, by the share of each cell that is inside."""
+    cells = A.with_position(A.pixel_year(spark, d, 40)).withColumn("area", cell_area_ha(F.col("lat"), 0.25, 0.25))
+    layer = _frames(spark, d)
+    found = polygons.clipped_sums(cells, layer, A.GRID, ["agb"], area="area", keys=("year",)).join(layer.select("id", "code"), "id")
+    return found.select("code", "year", F.round(F.col("agb") / 1e6, 6).alias("megatonnes"), F.round("inside", 4).alias("hectares"))
+
+
+@query(
+    "c5_points_in_fine_rings",
+    f"with n as (select n_nationkey k, n_name code, (n_nationkey % 5) * 2.0::double + 1.0131::double cx, 9.0171::double - (n_nationkey // 5) * 2.0::double cy from nation)"
+    f" select code, count(*) n, round(sum(biomass), 3) biomass from ({A.SQL_POINTS}) join n on abs(x - cx) + abs(y - cy) < 0.9137::double and abs(x - cx) + abs(y - cy) >= 0.4219::double group by code",
+)
+def c5_fine(spark, d):
+    """Points in diamonds with diamond holes, whose rings have 8000 and 400 vertices."""
+    k = F.col("n_nationkey")
+    cx, cy = (k % 5) * 2.0 + 1.0131, F.lit(9.0171) - F.floor(k / 5) * 2.0
+
+    def diamond(radius: float, steps: int):
+        def vertex(i):
+            side, part = F.floor(i / steps), (i % steps) / float(steps)
+            u, v = F.lit(radius) * (1 - part), F.lit(radius) * part
+            x = F.when(side == 0, u).when(side == 1, -v).when(side == 2, -u).otherwise(v)
+            y = F.when(side == 0, v).when(side == 1, u).when(side == 2, -v).otherwise(-u)
+            return F.struct((cx + x).alias("x"), (cy + y).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), vertex)
+
+    layer = A.read(spark, d, "nation").select(k.alias("id"), F.col("n_name").alias("code"), F.array(diamond(0.9137, 2000), diamond(0.4219, 100)).alias("rings"))
+    found = joins.points_in_polygons(A.points(spark, d), layer, "x", "y")
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("biomass"), 3).alias("biomass"))
 
 
 @query("c5_points_in_scenes", f"with r as ({A.sql_regions()}) select code, count(*) n, round(sum(biomass), 3) biomass from ({A.SQL_POINTS}) join r on floor(x * 4) >= x0 and floor(x * 4) < x1 and y < 10 - y0 / 4.0 and y >= 10 - y1 / 4.0 group by code")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.polygons import Grid
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +23,10 @@ def sql_pixel_year(m: int = 20) -> str:
     return f"select cast(l_partkey % {m} as int) ix, cast(l_suppkey % {m} as int) iy, cast(year(l_shipdate) as int) as year, avg(l_quantity) agb from lineitem group by all"
 
 
+#: The quarter-degree grid of 40 x 40 cells that pixel_year(40) and the like fill; the cells of smaller ones are its first.
+GRID = Grid(west=0.0, north=10.0, step=0.25, nlat=40, nlon=40)
+
+
 def with_position(df: DataFrame) -> DataFrame:
     """Adds lat and lon of the cell's centre on a quarter-degree grid."""
     return df.withColumns({"lat": F.lit(10.0) - (F.col("iy") + 0.5) / 4, "lon": (F.col("ix") + 0.5) / 4})
