@@ -13,8 +13,9 @@ from ..functions.stats import bias, mae, r2
 from ..operators.filters import complete_rows
 from ..sources.catalog import exists
 
+# The features of the models, in order.
 FEATURES = [
-    "SR_B1", "SR_B2", "SR_B3", "SR_B4", "SR_B5", "SR_B7", "NDVI", "NDII", "NIR_V", *[f"BIO{i:02d}" for i in range(1, 20)], "tmean", "tmin", "tmax", "prec", "srad", "wind", "vapr", "elev", "slope", "aspect",
+    "SR_B1", "SR_B2", "SR_B3", "SR_B4", "SR_B5", "SR_B7", "NDVI", "NDII", "NIR_V", *[f"BIO{i:02d}" for i in range(1, 20)], "prec", "srad", "tavg", "tmax", "tmin", "vapr", "wind", "elev", "slope", "aspect",
 ]
 LABEL = "biomass"
 
@@ -40,13 +41,15 @@ def split_by_year(df: DataFrame, first: int, last: int, validation: str = "last"
 
 def split_stratified(df: DataFrame, key: str, label: str = LABEL, strata: int = 10, share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by the hash of a key, with the same share of each k-means cluster of the label."""
-    from pyspark.sql import Window
+    from ..operators.ranks import kth_smallest
 
     vec = VectorAssembler(inputCols=[label], outputCol="__v", handleInvalid="skip").transform(df)
-    rows = KMeans(k=strata, seed=seed, featuresCol="__v", predictionCol="__s").fit(vec).transform(vec)
-    order = Window.partitionBy("__s").orderBy(F.xxhash64(key, F.lit(seed)), key)
-    ranked = rows.withColumn("__r", F.percent_rank().over(order)).drop("__v", "__s")
-    return ranked.where(F.col("__r") < share).drop("__r"), ranked.where(F.col("__r") >= share).drop("__r")
+    rows = KMeans(k=strata, seed=seed, featuresCol="__v", predictionCol="__s").fit(vec).transform(vec).drop("__v").withColumn("__h", F.xxhash64(key, F.lit(seed)))
+    # of each stratum the hash up to which its share of rows lies, found by counting
+    wanted = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).select("__s", F.array(F.ceil(F.col("n") * share) - 1).alias("ranks"))
+    limits = kth_smallest(rows, ["__s"], F.col("__h"), wanted).select("__s", F.col("keys")[0].alias("__limit"))
+    marked = rows.join(limits, "__s").withColumn("__train", F.col("__h") <= F.col("__limit")).drop("__s", "__h", "__limit")
+    return marked.where("__train").drop("__train"), marked.where("not __train").drop("__train")
 
 
 def scaler(df: DataFrame, features: list[str]) -> PipelineModel:

@@ -243,8 +243,8 @@ def clean_biomass(df: DataFrame) -> DataFrame:
 
 
 def apply_allometry(df: DataFrame, seasons: bool = True) -> DataFrame:
-    """Assignment, season filter, value and clean-up of shots with all metrics and ancillary columns."""
+    """Assignment, season filter (by the timestamp in `acquired`, or in `time` without it), value and clean-up of shots with all metrics."""
     out = assign_equations(df)
     if seasons:
-        out = leaf_on(out)
+        out = leaf_on(out, time="acquired" if "acquired" in out.columns else "time")
     return clean_biomass(calculate_biomass(out))

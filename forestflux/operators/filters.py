@@ -58,6 +58,14 @@ def sample_per_class(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
 
 
+def evaluated(df: DataFrame) -> DataFrame:
+    """df as it is, computed before what comes after: later filters and columns refer to its columns and don't repeat their expressions.
+
+    Without it Spark moves a filter on a height below all layers of waveform expressions, each written out where it is used.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(F.col("__row") >= 0).drop("__row")
+
+
 def waveform_quality(df: DataFrame) -> DataFrame:
     """Usable lidar shots: located, two peaks or more, a clear signal, near the surface model, sane signal bounds."""
     surface = F.abs(F.coalesce(F.col("srtm_elev"), F.col("glas_elev")) - F.col("glas_elev"))

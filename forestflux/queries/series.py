@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions.nulls import clip, safe_div
-from ..operators import aggregate, filters, joins, landsat, setops, timeseries
+from ..operators import aggregate, filters, joins, landsat, ranks, setops, timeseries
 from ..sources import adapters as A
 from ..sources import catalog
 from .registry import query
@@ -310,10 +310,25 @@ def d12(spark, d):
     return c.groupBy("p_brand").agg(F.max(F.struct("n", "p_type"))["p_type"].alias("p_type"), F.sum("n").alias("n"))
 
 
-@query("d18_percentiles", "select o_orderpriority, round(quantile_cont(o_totalprice, 0.95) + 1e-6, 2) p95, round(quantile_cont(o_totalprice, 0.995) + 1e-6, 2) p995 from orders group by 1")
+@query("d18_percentiles", "select o_orderpriority, round(quantile_cont(o_totalprice, 0.95), 6) p95, round(quantile_cont(o_totalprice, 0.995), 6) p995 from orders group by 1")
 def d18(spark, d):
-    g = A.read(spark, d, "orders").groupBy("o_orderpriority")
-    return g.agg(F.round(F.percentile("o_totalprice", 0.95) + 1e-6, 2).alias("p95"), F.round(F.percentile("o_totalprice", 0.995) + 1e-6, 2).alias("p995"))
+    found = ranks.percentiles(A.read(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p95": 0.95, "p995": 0.995})
+    return found.select("o_orderpriority", F.round("p95", 6).alias("p95"), F.round("p995", 6).alias("p995"))
+
+
+@query("d18_percentiles_with_ties", "select event_type, quantile_cont(value, 0.0) least, round(quantile_cont(value, 0.25), 6) q1, round(quantile_cont(value, 0.5), 6) median, quantile_cont(value, 1.0) most from (select event_type, case when event_id % 3 > 0 then round(value) * (event_id % 2 * 2 - 1) end as value from events) where value is not null group by 1")
+def d18_ties(spark, d):
+    """Few distinct values on both sides of zero, and missing ones."""
+    e = A.read(spark, d, "events").select("event_type", F.when(F.col("event_id") % 3 > 0, F.round("value") * (F.col("event_id") % 2 * 2 - 1)).alias("value"))
+    found = ranks.percentiles(e, ["event_type"], "value", {"least": 0.0, "q1": 0.25, "median": 0.5, "most": 1.0})
+    return found.select("event_type", "least", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"), "most")
+
+
+@query("a13_batches", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast((row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) // 100 as int) batch from lineitem")
+def a13b(spark, d):
+    """Line items in batches of a hundred, in order of their keys."""
+    li = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return catalog.batches(li, "l_orderkey", 100, ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @query("d19_histogram", f"select cast(least(floor(biomass / (600.0::double / 80)), 79) as int) bin, count(*) n from ({A.SQL_POINTS}) where biomass between 0 and 600 group by 1")

@@ -100,8 +100,9 @@ def first_by_basename(links: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("position", "href", "basename")
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Numbers rows in batches of `size` by key order."""
-    from pyspark.sql import Window
+def batches(df: DataFrame, key: str, size: int, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """Numbers rows in batches of `size` by key order, then by the columns in ties; no task sees all rows."""
+    from ..operators.ranks import global_rank
 
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    ranked = global_rank(df, key, ties)
+    return ranked.withColumn("batch", F.floor(F.col("rank") / size).cast("int")).drop("rank")
