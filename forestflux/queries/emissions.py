@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box_ring
 from ..functions.grid import cell_area_ha
-from ..operators import aggregate, emissions, fire, joins, polygons, timeseries
+from ..operators import aggregate, dissolve, emissions, fire, joins, polygons, timeseries
 from ..plans import pipelines
 from ..sources import adapters as A
 from .registry import query
@@ -167,6 +167,20 @@ def c5_fine(spark, d):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("biomass"), 3).alias("biomass"))
 
 
+@query(
+    "j11_dissolved_realms",
+    f"with r as ({A.sql_regions(40)}), c as (select realm, count(*) cells from (select distinct ix, iy from ({A.sql_static(40)})) join r on ix >= x0 and ix < x1 and iy >= y0 and iy < y1 group by realm),"
+    " a as (select realm, sum((x1 - x0) * (y1 - y0)) / 16.0::double area from r group by realm) select realm, round(area, 9) area, cells from a join c using (realm)",
+)
+def j11(spark, d):
+    """Regions dissolved by realm: the area and the cells of each realm are those of its regions together."""
+    whole = dissolve.dissolve(A.regions(spark, d, 40).withColumn("rings", F.array("ring")), "realm")
+    layer = whole.withColumn("id", F.col("realm"))  # the parts of a realm are parts of one polygon
+    cells = polygons.cells_in_runs(A.static_raster(spark, d, 40).select("iy", "ix").distinct(), polygons.inside_runs(layer, A.GRID)).groupBy("id").agg(F.count(F.lit(1)).alias("cells"))
+    area = polygons.share_runs(layer, A.GRID).groupBy("id").agg((F.sum(F.col("share") * (F.col("ix1") - F.col("ix0") + 1)) / 16).alias("area"))
+    return area.join(cells, "id").select(F.col("id").alias("realm"), F.round("area", 9).alias("area"), "cells")
+
+
 @query("c5_points_in_scenes", f"with r as ({A.sql_regions()}) select code, count(*) n, round(sum(biomass), 3) biomass from ({A.SQL_POINTS}) join r on floor(x * 4) >= x0 and floor(x * 4) < x1 and y < 10 - y0 / 4.0 and y >= 10 - y1 / 4.0 group by code")
 def c5(spark, d):
     """Points at multiples of 1/40 degree; edges belong to the polygon above and to the right of them."""
