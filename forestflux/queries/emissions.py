@@ -276,6 +276,19 @@ def v2(spark, d):
     return fire.burn_cells(fire.detections(A.fire_points(spark, d), 9000.0), 0.0, 20.0, 0.05, 400, 800)
 
 
+_NEAR = f"select year, lon / 0.0025::double x, (20.0::double - lat) / 0.0025::double y, 375.0::double / (110574.2727::double * cos(radians(lat))) / 0.0025::double r from ({A.SQL_FIRE_POINTS}) where confidence in ('n', 'h')"
+
+
+@query(
+    "v2_burn_cells_375m",
+    f"""select distinct year, cast(cy as int) iy, cast(cx as int) ix from (select distinct * from ({_NEAR})), (select unnest(range(-2, 4)) a), (select unnest(range(-2, 4)) b), lateral (select floor(x) + a cx, floor(y) + b cy)
+ where cx between 0 and 15999 and cy between 0 and 7999 and pow(greatest(cx - x, 0, x - cx - 1), 2) + pow(greatest(cy - y, 0, y - cy - 1), 2) <= r * r""",
+)
+def v2_near(spark, d):
+    """Discs of the sensor's 375 m on a grid of 0.0025 degrees."""
+    return fire.burn_cells(fire.detections(A.fire_points(spark, d)), 0.0, 20.0, 0.0025, 8000, 16000)
+
+
 @query("v4_burned_fraction", f"select year, iy // 10 iy, ix // 10 ix, count(*) / 100.0::double burned from ({_CELLS}) group by 1, 2, 3")
 def v4(spark, d):
     cells = fire.burn_cells(fire.detections(A.fire_points(spark, d), 9000.0), 0.0, 20.0, 0.05, 400, 800)

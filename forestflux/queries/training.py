@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import training
+from ..operators.allometry import ECOREGION_GROUPS
+from ..operators.filters import complete_rows
+from ..operators.joins import nearest_lookup
 from ..sources import adapters as A
+from .lidar import _REALM_OF, _grouped
 from .registry import query
 
 _GRID = (9.875, -0.25, 20, 0.125, 0.25, 20)
@@ -40,16 +44,23 @@ def _pixels(spark, d):
     return cells.select("iy", "ix", ((i * 31 + j * 17) % 101 / 4.0).alias("SR_B1"), F.when((i + j) % 7 > 0, (i * 13 + j * 5) % 89 / 8.0).alias("NDVI"))
 
 
+_INSIDE = f"select *, {_IY} iy, {_IX} ix from ({_SHOTS}) where lat between 2 and 8 and lon between 1 and 9 and biomass is not null"
+
+
 @query(
     "l12_training_rows",
-    f"""select biomass, burned, ecoregion, lat, lon, realm, SR_B1, NDVI from (select *, {_IY} iy, {_IX} ix from ({_SHOTS}) where lat between 2 and 8 and lon between 1 and 9 and biomass is not null) s join ({_PIXELS}) p using (iy, ix)
- join (select e, case when e in (0, 129, 133) then 'ice' when e between 1 and 116 then 'afrotropic' when e between 439 and 560 then 'neotropic' when e between 325 and 438 then 'nearctic' else 'other' end realm from range(847) t(e)) r on r.e = s.ecoregion where NDVI is not null and realm <> 'other'""",
+    f"""select biomass, burned, ecoregion, lat, lon, realm, SR_B1, NDVI from (select *, case when ecoregion in (0, 129, 133) then 'ice' when ecoregion = 622 then 'tropical_asia' else {_REALM_OF} end realm
+ from ({_grouped('ecoregion', _INSIDE, ECOREGION_GROUPS, 'eco')})) join ({_PIXELS}) using (iy, ix) where NDVI is not null""",
 )
 def l12(spark, d):
-    """Compared for the regions whose ids are one run each."""
-    rows = training.training_rows(_shots(spark, d), _pixels(spark, d), (2, 8, 1, 9), ["SR_B1", "NDVI"], *_GRID)
-    e = F.col("ecoregion")
-    return rows.where(e.isin(0, 129, 133) | e.between(1, 116) | e.between(439, 560) | e.between(325, 438))
+    return training.training_rows(_shots(spark, d), _pixels(spark, d), (2, 8, 1, 9), ["SR_B1", "NDVI"], *_GRID)
+
+
+@query("b9_complete_shots", f"select shot, biomass, NDVI from (select *, {_IY} iy, {_IX} ix from ({_SHOTS})) left join ({_PIXELS}) using (iy, ix) where biomass is not null and NDVI is not null")
+def b9_shots(spark, d):
+    """Shots with biomass and an index at their pixel; of the others, some lack one and some the other."""
+    found = nearest_lookup(_shots(spark, d), _pixels(spark, d), "NDVI", *_GRID)
+    return complete_rows(found, ["biomass", "NDVI"]).select("shot", "biomass", "NDVI")
 
 
 @query("t7_climate", f"select shot, cast(trunc(v * 100) as smallint) BIO01, cast(trunc(w) as smallint) BIO12 from (select *, {_IY} iy, {_IX} ix from ({_SHOTS})) left join (select iy, ix, SR_B1 + 0.003::double v, NDVI * 7 w from ({_PIXELS})) using (iy, ix)")
