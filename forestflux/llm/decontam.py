@@ -11,7 +11,8 @@ read once per part, and the parts' matches are put together.
 Words are the runs of ASCII letters (lower-cased), digits and characters beyond ASCII. Words are told apart by 64-bit hashes.
 
 Defined cases: null or empty texts and items have no words and match nothing; a null item id matches but is left out of the list of
-items; repeated rows of either table are each judged; other columns are not read; empty tables give empty matches.
+items; repeated rows of either table are each judged; other columns are not read; empty tables give empty matches. Texts of any length are taken
+whole; repetitive ones take memory in proportion to their maximal matches.
 """
 
 from __future__ import annotations
@@ -123,23 +124,33 @@ def shard_matches(test: TestSuffixes, texts: list[bytes]) -> tuple[np.ndarray, l
     at = np.flatnonzero(run >= test.least)
     if not len(at):
         return counts, none
-    keys = test.keys(tokens, at)
+    # the word before a suffix orders those that begin alike
+    keys = np.column_stack([test.keys(tokens, at), tokens[at - 1].astype(np.uint64)])
     order = np.lexsort(keys.T[::-1])
     suffix_array, keys = at[order], keys[order]
     wanted = test.keys(test.tokens, test.suffixes, test.need)
-    low = _search(keys, wanted, False)
+    low = _search(keys[:, :-1], wanted, False)
     top = wanted.copy()  # the largest key that begins with the wanted words
     per = 64 // test.bits
     for j in range(test.window):
         top[test.need <= j, j // per] |= np.uint64(((1 << test.bits) - 1) << (test.bits * (per - 1 - j % per)))
-    high = _search(keys, top, True)
-    n = high - low
-    which = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    there, here = suffix_array[low[which] + offset], test.suffixes[which]
-    # a match that can be extended to the left is part of a longer one
-    maximal = (tokens[there - 1] != test.tokens[here - 1]) | (tokens[there - 1] == 0) | (here == 0) | (there == 0)
-    there, here, length = there[maximal], here[maximal], test.need[which][maximal].copy()
+    high = _search(keys[:, :-1], top, True)
+    # a match that can be extended to the left is part of a longer one: places after the word that the test suffix follows are passed over,
+    # so that repetitive texts cost no more than their maximal matches (a suffix that begins its item has no word before it)
+    before = test.tokens[test.suffixes - 1]
+    some = np.flatnonzero((high > low) & (before != 0))
+    skip_from, skip_to = high.copy(), high.copy()
+    longer = np.column_stack([wanted[some], before[some].astype(np.uint64)])
+    skip_from[some], skip_to[some] = _search(keys, longer, False), _search(keys, longer, True)
+    there, here, length = [], [], []
+    for first_, last in ((low, skip_from), (skip_to, high)):
+        n = last - first_
+        which = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        there.append(suffix_array[first_[which] + offset])
+        here.append(test.suffixes[which])
+        length.append(test.need[which])
+    there, here, length = np.concatenate(there), np.concatenate(here), np.concatenate(length)
     grow = np.arange(len(there))
     while len(grow):
         a, b = tokens[there[grow] + length[grow]], test.tokens[here[grow] + length[grow]]
@@ -194,7 +205,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 for a, b in slices(np.array([len(t) for t in all_texts]), SHARD_BYTES):
                     part = batch.slice(a, b - a)
                     counts, (text, start, item, item_start, length) = shard_matches(test, all_texts[a:b])
-                    order = np.lexsort((item, start, text))
+                    order = np.lexsort((item_start, item, start, text))
                     text, start, item, item_start, length = (x[order] for x in (text, start, item, item_start, length))
                     offsets = np.searchsorted(text, np.arange(b - a + 1))
                     matches = pa.StructArray.from_arrays([pa.array([test.ids[i] for i in item], pa.string()), pa.array(item_start), pa.array(start), pa.array(length)], fields=list(_MATCH))
