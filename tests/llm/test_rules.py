@@ -186,6 +186,20 @@ def test_urls(spark):
     assert got == {i: plain_verdict(u) for i, u in enumerate(found)}
 
 
+def test_rules_and_sql_are_those_of_the_contract(spark, tmp_path):
+    import duckdb
+
+    from forestflux.llm.queries import ORACLE, op7_url_filter
+
+    assert sorted(URL_RULES) == sorted([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")])
+    wanted = {"http://a.com/en/": "block", "http://example.com/en/75": "allow", "http://a.net/de/1": "allow", "http://example.net/de/9": "allow", "http://m.example.net/de/88": "block", "http://x.org/es/": "block", "http://x.org/de/": "allow"}
+    spark.createDataFrame(list(enumerate(wanted)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.verdict for r in op7_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()] == list(wanted.values())
+    with duckdb.connect() as con:
+        con.execute(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+        assert [v for _, v in sorted(con.execute(f"select page_id, verdict from ({ORACLE['op7_url_filter']})").fetchall())] == list(wanted.values())
+
+
 def test_precedence_of_allow_and_block():
     t = urls.UrlTrie([("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "com", "/x/y/z"), ("allow", "", "/x/")])
     assert t.match("a.com", "/x/1")[0] == "block" and t.match("b.com", "/x/y/zz") == ("block", "com/x/y/z") and t.match("q.org", "/x/") == ("allow", "/x/")
