@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,27 +48,28 @@ COMMON_LEAST = 32
 SLICE_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20
 #: Codes that a counting task holds before it sends their counts, and n-grams in an Arrow batch of segments.
 FLUSH_CODES, BATCH_GRAMS = 4_000_000, 1 << 20
+_SEEN = 1 << 22
 #: Groups with so many possible smaller sides are compared pair by pair, and larger ones while they take so many pairs for each first entry.
 SMALL, PAIRS_PER_ENTRY = 32, 1
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct n-grams of all texts, in ascending order of both."""
-    data, at = joined(texts)
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    data = lower[data] if len(data) else data
+    data, at = joined([t.lower() for t in texts])  # of bytes: A-Z only
     starts, ends = word_spans(data, blank_table())
     edges = np.searchsorted(starts, at)
     words = range_hashes(data, starts, ends)
     count = np.diff(edges)
     grams = gram_hashes(words, n)
-    text = np.repeat(np.arange(len(texts)), count)
-    place = np.flatnonzero(np.arange(len(grams)) + n <= edges[1:][text[: len(grams)]]) if len(grams) else np.empty(0, np.int64)
+    size = np.where(count < n, count > 0, count - n + 1)
+    at = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(texts)), size)
+    value = np.empty(len(owner), np.uint64)
+    full = (count >= n)[owner]
+    value[full] = grams[(np.arange(len(owner)) + (edges[:-1] - at[:-1])[owner])[full]]
     short = np.flatnonzero((count > 0) & (count < n))
-    owner = np.concatenate([text[place], short])
-    value = np.concatenate([grams[place], range_hashes(words, edges[short], edges[short + 1])])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    value[at[short]] = range_hashes(words, edges[short], edges[short + 1])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):  # text by text is faster than one sort by both
+        value[a:b].sort()
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return owner[new], value[new]
@@ -123,8 +125,19 @@ class Order:
         if not len(self.codes):
             return np.zeros(len(value), np.int64)
         code = value.astype(np.uint32)
+        out = np.zeros(len(value), np.int64)
+        maybe = np.flatnonzero(self._seen[code & np.uint32(_SEEN - 1)])
+        code = code[maybe]
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.documents[at], 0)
+        out[maybe] = np.where(self.codes[at] == code, self.documents[at], 0)
+        return out
+
+    @cached_property
+    def _seen(self) -> np.ndarray:
+        """Whether any common code ends in these bits; most n-grams are rare and need no search."""
+        out = np.zeros(_SEEN, bool)
+        out[self.codes & np.uint32(_SEEN - 1)] = True
+        return out
 
     def fragment(self, value: np.ndarray) -> np.ndarray:
         rank = self.rank(value)
@@ -196,6 +209,13 @@ def _add_up(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
+def _rare_first(owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by owner, rank and place; owner ascends."""
+    late = np.flatnonzero(rank)
+    order = np.concatenate([np.flatnonzero(rank == 0), late[np.lexsort((rank[late], owner[late]))]])
+    return order[np.argsort(owner[order], kind="stable")]
+
+
 def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
     """(gram, node, size, place) of the prefix n-grams of all sets; sets that are equal may come more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -212,7 +232,7 @@ def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
                 once[np.unique(node, return_index=True)[1]] = True  # equal sets once a slice
                 use = once[owner]
                 owner, value = owner[use], value[use]
-                by = np.lexsort((value, shared.value.rank(value), owner))
+                by = _rare_first(owner, shared.value.rank(value))
                 owner, value = owner[by], value[by]
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 use = place < _prefix(size, per_cent)[owner]
@@ -229,6 +249,11 @@ def node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
 
 
+def _either(pairs: DataFrame) -> DataFrame:
+    """(node): the nodes of pairs (a, b); only their texts move."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order, low: int = 0, high: int | None = None) -> DataFrame:
     """(peer, fragment, node, size, grams): the n-grams of every node of peers (node, peers), once for each of its peers and fragments [low, high)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
@@ -375,7 +400,6 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     entries = table(entries, "entries")
     size = entries.count()
     drop_table(first)
-    texts = table(node_texts(docs, sets, entries.select("node").distinct()), "texts")
     label, more = None, spark.createDataFrame([], "a long, b long, pa long, pb long")
     member = F.struct("node", "size", "dev", "place", "part")
     while True:
@@ -383,8 +407,11 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         near = entries.select("gram", member.alias("x")).join(heads.hint("merge"), "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
         near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
         pairs = table(near.unionByName(more).distinct(), "pairs")
+        texts = table(node_texts(docs, sets, _either(pairs)), "texts")
         links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
         drop_table(pairs)
+        drop_table(texts)
+        release(spark)
         if not links.isEmpty():
             step = components(links)
             label = _joined_parts(label, step)
@@ -405,14 +432,16 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         if large.isEmpty():
             entries = open_.select("gram", "node", "size", "dev", "place", "part").limit(0)
         else:
+            texts = table(node_texts(docs, sets, _either(large)), "texts")
             entries, sure = deviations(large, texts, n, per_cent, order)
+            drop_table(texts)
             more = more.unionByName(sure)
         entries, more = table(entries, "entries"), table(more.distinct(), "more")
         drop_table(open_)
         drop_table(large)
         release(spark)
         if entries.isEmpty() and more.isEmpty():
-            for done in (entries, more, texts):
+            for done in (entries, more):
                 drop_table(done)
             return sets, label if label is not None else spark.createDataFrame([], "node long, root long")
 

@@ -60,6 +60,39 @@ def test_chains_of_near_copies(spark, monkeypatch):
     assert ours(df) == brute(rows)
 
 
+def test_only_texts_of_pairs_move(spark, monkeypatch):
+    """Short texts share prefix n-grams with long ones, but cannot link with them by size: their texts stay where they are."""
+    r = random.Random(7)
+    long = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    near = [*long[0][:-1], "changed"]
+    rows = list(enumerate(" ".join(x) for x in [*long, near, *[x[k : k + 4] for x in long for k in range(57)]]))
+    nodes = {"texts": set(), "pairs": set(), "members": set(), "entries": set()}
+    table = jaccard.table
+
+    def seen(df, name, *args, **options):
+        out = table(df, name, *args, **options)
+        for c in {"texts": ("node",), "entries": ("node",), "pairs": ("a", "b"), "members": ("a", "b")}.get(name, ()):
+            nodes[name] |= {row[0] for row in out.select(c).collect()}
+        return out
+
+    monkeypatch.setattr(jaccard, "table", seen)
+    assert ours(documents(spark, [(i, t, "en", "a") for i, t in rows])) == brute(rows)
+    assert len(nodes["entries"]) > 4
+    assert nodes["texts"] == nodes["pairs"] | nodes["members"] and len(nodes["texts"]) == 2
+
+
+def test_sets_are_sorted_and_distinct():
+    texts = [b"", b"A b", b" \n", b"a B c d e a b C d", b"a", b"x y z w v"]
+    owner, value = jaccard.shingle_sets(texts, 4)
+    assert np.bincount(owner, minlength=6).tolist() == [0, 1, 0, 5, 1, 2]
+    assert all((np.diff(value[owner == k].astype(object)) > 0).all() for k in range(6))
+    assert set(jaccard.shingle_sets([b"a b c d"], 4)[1]) < set(value[owner == 3])
+    order = jaccard.Order(np.sort(value[:4].astype(np.uint32)), np.array([40, 50, 60, 70]), 3, np.empty(0, np.int64))
+    rank = order.rank(value)
+    assert sorted(rank[rank > 0].tolist()) == [40, 50, 60, 70, *rank[4:][rank[4:] > 0].tolist()]
+    assert (jaccard._rare_first(owner, rank) == np.lexsort((value, rank, owner))).all()
+
+
 @pytest.mark.parametrize("n, t, words", [(4, 85, 10**6), (5, 80, 10**6), (4, 85, 12)])
 def test_large_group_of_near_copies(spark, monkeypatch, n, t, words):
     """Copies of one text with none to eight edits, most linked with few others or none; with few words, edits recur."""
