@@ -34,6 +34,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +48,21 @@ FRAGMENTS = 4
 COMMON_LEAST = 32
 SLICE_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20
 #: Codes that a counting task holds before it sends their counts, and n-grams in an Arrow batch of segments.
-FLUSH_CODES, BATCH_GRAMS = 4_000_000, 1 << 20
+FLUSH_CODES, BATCH_GRAMS = 2_000_000, 1 << 20
 _SEEN = 1 << 22
+#: Bits of a row of a bitmap (those of Spark's bitmap_construct_agg), and bits for each key in it.
+ROW_BITS, KEY_BITS = 32768, 8
 #: Groups with so many possible smaller sides are compared pair by pair, and larger ones while they take so many pairs for each first entry.
 SMALL, PAIRS_PER_ENTRY = 32, 1
 
+
+def _text_slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows a to b of a batch with their texts, at most `most` bytes of them at once."""
+    column = batch.column("text")
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), most):
+        yield a, b, batch_texts(column.slice(a, b - a))
+
+
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct n-grams of all texts, in ascending order of both."""
     data, at = joined([t.lower() for t in texts])  # of bytes: A-Z only
@@ -95,9 +106,8 @@ def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch_texts(batch.column("text"))
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
-                size, node = _nodes(*shingle_sets(texts[a:b], n), b - a)
+            for a, b, texts in _text_slices(batch, SLICE_BYTES):
+                size, node = _nodes(*shingle_sets(texts, n), b - a)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size.astype(np.int64)), pa.array(node)], names=["doc_id", "ord", "key", "n_shingles", "node"])
 
@@ -145,39 +155,45 @@ class Order:
         return np.where(rank > 0, self.rare + np.searchsorted(self.cuts, rank, "right"), low)
 
 
-def global_order(docs: DataFrame, n: int, total_bytes: int, shingles: int, fragments: int) -> Order:
-    """Counts all n-grams and cuts their order; codes that collide count together.
+def packed_counts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, codes, counts) of the n-grams' codes, counted FLUSH_CODES at a time; buckets are equal ranges of codes."""
+    bounds = np.array([-(-(k << 32) // buckets) for k in range(buckets)], np.uint32)
 
-    The frequency that counts as common is raised until all fit MAX_BROADCAST_BYTES; it orders n-grams only, so any gives the same links.
-    """
-    buckets = max(1, total_bytes // 6 // (2 * BUCKET_ROWS) + 1)
-
-    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        codes, counts = _add_up(*(np.concatenate(x) for x in zip(*held)))
-        bucket = codes % np.uint32(buckets)
-        order = np.argsort(bucket, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.concatenate(held)
+        held.clear()
+        codes.sort()
+        heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        counts = np.diff(np.append(heads, len(codes))).astype(np.uint32)
+        codes = codes[heads]
+        edges = np.append(np.searchsorted(codes, bounds), len(codes))
+        parts = [(k, edges[k], edges[k + 1]) for k in np.flatnonzero(np.diff(edges)).tolist()]
         return pa.RecordBatch.from_pydict(
             {
-                "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-                "codes": pa.array([codes[p].tobytes() for p in parts], pa.binary()),
-                "counts": pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+                "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
+                "codes": pa.array([codes[a:b].tobytes() for _, a, b in parts], pa.binary()),
+                "counts": pa.array([counts[a:b].tobytes() for _, a, b in parts], pa.binary()),
             }
         )
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            texts = batch_texts(batch.column("text"))
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
-                codes, counts = np.unique(shingle_sets(texts[a:b], n)[1].astype(np.uint32), return_counts=True)
-                held.append((codes, counts.astype(np.int64)))
-                size += len(codes)
-                if size > FLUSH_CODES:
-                    yield send(held)
-                    held, size = [], 0
-        if size:
-            yield send(held)
+    held, size = [], 0
+    for batch in batches:
+        for _, _, texts in _text_slices(batch, SLICE_BYTES):
+            held.append(shingle_sets(texts, n)[1].astype(np.uint32))
+            size += len(held[-1])
+            if size > FLUSH_CODES:
+                yield send(held)
+                size = 0
+    if size:
+        yield send(held)
+
+
+def global_order(docs: DataFrame, n: int, total_bytes: int, shingles: int, fragments: int) -> Order:
+    """Counts all n-grams and cuts their order; codes that collide count together.
+
+    The frequency that counts as common is raised until all fit MAX_BROADCAST_BYTES; it orders n-grams only, so any gives the same links.
+    """
+    buckets = max(1, total_bytes // 6 // (2 * BUCKET_ROWS) + 1)
 
     def add(group: pa.Table) -> pa.Table:
         codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint32)
@@ -187,7 +203,7 @@ def global_order(docs: DataFrame, n: int, total_bytes: int, shingles: int, fragm
         return pa.table({"code": pa.array(codes[keep].astype(np.int64)), "documents": pa.array(counts[keep])})
 
     least = COMMON_LEAST
-    packed = docs.select("text").mapInArrow(emit, "bucket int, codes binary, counts binary")
+    packed = docs.select("text").mapInArrow(lambda batches: packed_counts(batches, n, buckets), "bucket int, codes binary, counts binary")
     found = table(packed.groupBy("bucket").applyInArrow(add, "code long, documents long"), "common")
     while 12 * found.where(F.col("documents") >= least).count() > MAX_BROADCAST_BYTES:
         least *= 2
@@ -221,15 +237,17 @@ def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = batch_texts(batch.column("text"))
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES):
-                owner, value = shingle_sets(texts[a:b], n)
+            for a, b, texts in _text_slices(batch, SLICE_BYTES):
+                owner, value = shingle_sets(texts, n)
                 if not len(owner):
                     continue
                 size, node = _nodes(owner, value, b - a)
                 once = np.zeros(b - a, bool)
-                once[np.unique(node, return_index=True)[1]] = True  # equal sets once a slice
+                for x, i in zip(*(y.tolist() for y in np.unique(node, return_index=True))):  # equal sets once a task
+                    once[i] = x not in seen
+                    seen.add(x)
                 use = once[owner]
                 owner, value = owner[use], value[use]
                 by = _rare_first(owner, shared.value.rank(value))
@@ -242,10 +260,22 @@ def prefixes(docs: DataFrame, n: int, per_cent: int, order: Order) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "gram long, node long, size int, place int")
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` (a long) is among keys, and a few others: a bitmap of the keys' hashes, of MAX_BROADCAST_BYTES at most, goes to all tasks."""
+    bits = min(8 * MAX_BROADCAST_BYTES, max(1, -(-KEY_BITS * keys.count() // ROW_BITS)) * ROW_BITS)
+    hashed = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(bits))
+    row, place = F.floor(hashed / ROW_BITS), (hashed % ROW_BITS)
+    bitmap = keys.groupBy(row.alias("__row")).agg(F.bitmap_construct_agg(place).alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__row", row).join(F.broadcast(bitmap), "__row")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes, each from the document with the least id that has its set."""
+    """(node, text) of the given nodes, each from the document with the least id that has its set; few other texts move."""
     owners = sets.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ord", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(owners.hint("merge"), "key")
+    owners = table(owners, "owners")
+    rows = maybe_in(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), owners).join(owners.hint("merge"), "key")
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
 
 
@@ -264,10 +294,10 @@ def segments(texts: DataFrame, peers: DataFrame, n: int, order: Order, low: int
         f = cut.fragments
         wanted = np.arange(low, f if high is None else high)
         for batch in batches:
-            nodes, texts, lists = np.asarray(batch.column("node")), batch_texts(batch.column("text")), batch.column("peers")
+            nodes, lists = np.asarray(batch.column("node")), batch.column("peers")
             copies = np.asarray(lists.value_lengths()).astype(np.int64)
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_BYTES // 2):
-                owner, value = shingle_sets(texts[a:b], n)
+            for a, b, texts in _text_slices(batch, SLICE_BYTES // 2):
+                owner, value = shingle_sets(texts, n)
                 cell = owner * f + cut.fragment(value)
                 by = np.argsort(cell, kind="stable")
                 cell, value = cell[by], value[by].view(np.int64)
@@ -308,7 +338,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int, order: Ord
     first = _side_by_side(pairs, texts, n, order, 0, 1).select("a", "b", "size_a", "size_b", overlap.alias("first"), rest.alias("rest"))
     open_ = table(first.where(enough(F.col("first") + F.col("rest"))).select("a", "b", "first"), "open")
     counts = _side_by_side(open_, texts, n, order, 1).select("a", "b", "size_a", "size_b", overlap.alias("overlap"))
-    total = counts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap")).join(open_, ["a", "b"])
+    total = counts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), *[F.min(c).alias(c) for c in ("size_a", "size_b")]).join(open_, ["a", "b"])
     return total.where(enough(F.col("first") + F.col("overlap"))).select("a", "b")
 
 
@@ -395,7 +425,8 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     order = global_order(docs, n, total, shingles, fragments)
     first = table(prefixes(docs, n, per_cent, order), "prefixes")
-    several = first.groupBy("gram").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("gram")
+    # counts take half the room of nodes; what only equal sets of several tasks share comes along and brings up no pair
+    several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     entries = first.join(several.hint("merge"), "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("size").alias("dev"), F.first("place").alias("place"), F.first("node").alias("part"))
     entries = table(entries, "entries")
     size = entries.count()
@@ -408,7 +439,7 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
         pairs = table(near.unionByName(more).distinct(), "pairs")
         texts = table(node_texts(docs, sets, _either(pairs)), "texts")
-        links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+        links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")), "links")
         drop_table(pairs)
         drop_table(texts)
         release(spark)

@@ -175,3 +175,40 @@ def test_components_of_a_long_chain(spark):
     for r in components(links).collect():
         groups.setdefault(r.root, set()).add(r.node)
     assert sorted(map(len, groups.values())) == [2, 201]
+
+
+def test_few_other_texts_move(spark):
+    """Of 20,000 rows those of 30 keys, and hardly more; the keys need not be among the rows."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), F.lit("text").alias("text"))
+    keys = spark.range(0, 21_000, 700).select(F.xxhash64("id").alias("key"))
+    found = jaccard.maybe_in(rows, keys)
+    assert found.columns == rows.columns
+    assert found.join(keys, "key", "left_semi").count() == 29 and found.count() < 200
+    assert jaccard.maybe_in(rows, keys.limit(0)).count() == 0
+
+
+def test_counting_takes_little_memory():
+    """Counts are those of all n-grams, and a task holds few bytes for each that it has not sent."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_pydict({"text": [None, "a b", *(" ".join(map(str, r.integers(0, 10**6, 2000))) for _ in range(400))]})
+    for got in jaccard.packed_counts(iter([batch]), 4, 5):  # what is loaded once
+        pass
+    tracemalloc.start()
+    got = [x for b in jaccard.packed_counts(iter([batch] * 5), 4, 5) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 170_000_000
+    counts = Counter()
+    for x in got:
+        codes = np.frombuffer(x["codes"], np.uint32)
+        assert (codes.astype(np.uint64) * np.uint64(5) >> np.uint64(32) == x["bucket"]).all()
+        counts.update(dict(zip(codes.tolist(), np.frombuffer(x["counts"], np.uint32).tolist())))
+    want = Counter(np.repeat(jaccard.shingle_sets([b"" if t is None else t.encode() for t in batch.column("text").to_pylist()], 4)[1].astype(np.uint32), 5).tolist())
+    assert counts == want
