@@ -169,13 +169,13 @@ class _Lanes:
         # contexts of the three chances: confidence 2 with how the guesses relate, confidence 1, recent hits; 64 in all
         start = np.concatenate([np.minimum(60000, 2000 + 700 * (8 * (np.arange(24) // 3) + np.arange(24) % 3)), 2000 + 4000 * (np.arange(16) // 2), np.full(24, 12000)])
         self.chance = np.tile(start.astype(np.int32), n)
-        self.width = (lane * 64).astype(np.int32)
+        self.width = lane * 64
         self.weight = np.full((3, n), 26000, np.int32)
         self.history = np.zeros(n, np.int32)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
         contexts = 1 + 16 + 256 + 16 * (nibbles - 3)
         self.bounds = np.tile((np.arange(16) * (_TOTAL // 16)).astype(np.int16), (n * contexts, 1))
-        self.base0 = (lane * contexts).astype(np.int32)
+        self.base0 = lane * contexts
 
     def shrink(self, n: int) -> None:
         """Goes on with the first n lanes only."""
@@ -193,7 +193,7 @@ class _Lanes:
         sure = self.k2 > 0
         self.guess = np.where(sure, self.q2, self.q1)
         relation = (self.k1 > 0) * (np.int32(1) + (self.q1 == self.q2))
-        self.at = np.empty((3, self.n), np.int32)
+        self.at = np.empty((3, self.n), np.int64)
         self.at[0] = self.width + self.k2 * 3 + relation
         self.at[1] = self.width + (self.k1 * 2 + 24) + sure
         self.at[2] = self.width + (self.history + 40)
@@ -214,9 +214,8 @@ class _Lanes:
             t[s] = np.where(k < 2, (ids << 3) + np.maximum(grown, 1), (q << 3) + grown)
         self.before, self.last = self.last, ids
 
-    def context(self, level: int, ids: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    def context(self, level: int, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
         """The order-0 context of a nibble: the nibbles above it, of which from the fourth on only the last."""
-        base = self.base0.take(lanes)
         if level == 0:
             return base
         above = ids >> (4 * (self.nibbles - level))
@@ -226,22 +225,36 @@ class _Lanes:
             return base + 17 + (above & 255)
         return base + 273 + 16 * (level - 3) + (above & 15)
 
-    def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
-        """Takes the part [start, start + size) of 2**bits of the ranges; shift(lanes) moves settled words out or in."""
-        part = self.range[lanes] >> _U(bits)
-        low = self.low[lanes] + part * start.astype(_U)
-        rng = part * size.astype(_U)
-        self.low[lanes], self.range[lanes] = low, rng
-        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng <= _LOW32))
-        lanes = todo if isinstance(lanes, slice) else lanes[todo]
-        while len(lanes):
-            low, rng = self.low[lanes], self.range[lanes]
-            settled = (low ^ (low + rng)) < _TOP
-            rng = np.where(settled, rng, (_U(0) - low) & _LOW32)
-            shift(lanes, low)
-            low, rng = low << _U(16), rng << _U(16)
-            self.low[lanes], self.range[lanes] = low, rng
-            lanes = lanes[((low ^ (low + rng)) < _TOP) | (rng <= _LOW32)]
+    def part(self, rows: np.ndarray, first: np.ndarray, nib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of a nibble's part; first: where each of the rows begins."""
+        flat = rows.ravel()
+        start = flat.take(first + nib).astype(_U)
+        end = np.where(nib == 15, _TOTAL, flat.take(first + np.minimum(nib + 1, 15)).astype(np.int32)).astype(_U)
+        return start, end - start
+
+    def count(self, at: np.ndarray, rows: np.ndarray, nib: np.ndarray) -> None:
+        moved = _TARGET.take(nib, axis=0)
+        moved -= rows
+        moved >>= _RATE
+        moved += rows
+        self.bounds[at] = moved
+
+
+def _narrow(low: np.ndarray, rng: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
+    """Takes, in place, the part [start, start + size) of 2**bits of the ranges; shift(places, low) moves settled words out or in."""
+    rng >>= _U(bits)
+    low += rng * start
+    rng *= size
+    todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng <= _LOW32))
+    while len(todo):
+        lo, r = low[todo], rng[todo]
+        settled = (lo ^ (lo + r)) < _TOP
+        r = np.where(settled, r, (_U(0) - lo) & _LOW32)
+        shift(todo, lo)
+        lo <<= _U(16)
+        r <<= _U(16)
+        low[todo], rng[todo] = lo, r
+        todo = todo[((lo ^ (lo + r)) < _TOP) | (r <= _LOW32)]
 
 
 def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.ndarray]:
@@ -271,20 +284,22 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
         ids_now = steps[t, : lanes.n]
         lanes.predict()
         hit = (lanes.guess == ids_now).astype(np.int32)
-        p = lanes.p << 4
-        lanes.narrow(slice(0, lanes.n), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16, emit)
+        p = lanes.p.astype(_U) << _U(4)
         missed = np.flatnonzero(hit == 0)
+        start, width = np.zeros(lanes.n, _U), p.copy()
+        start[missed] = p[missed]
+        width[missed] = _U(65536) - p[missed]
+        _narrow(lanes.low, lanes.range, start, width, 16, emit)
         if len(missed):
-            wanted = ids_now[missed]
+            wanted, base, first = ids_now[missed], lanes.base0.take(missed), np.arange(len(missed)) * 16
+            low, rng = lanes.low[missed], lanes.range[missed]
             for level in range(nibbles):
-                at = lanes.context(level, wanted, missed)
-                rows = lanes.bounds[at]
+                at = lanes.context(level, wanted, base)
+                rows = lanes.bounds.take(at, axis=0)
                 nib = (wanted >> (4 * (nibbles - 1 - level))) & 15
-                k = np.arange(len(nib))
-                start = rows[k, nib].astype(np.int32)
-                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int32))
-                lanes.narrow(missed, start, end - start, _TOTAL_BITS, emit)
-                lanes.bounds[at] = rows + ((_TARGET[nib] - rows) >> _RATE)
+                _narrow(low, rng, *lanes.part(rows, first, nib), _TOTAL_BITS, lambda which, x: emit(missed[which], x))  # noqa: B023
+                lanes.count(at, rows, nib)
+            lanes.low[missed], lanes.range[missed] = low, rng
         lanes.learn(ids_now, hit)
     finals |= {i: int(x) for i, x in enumerate(lanes.low)}
     result = []
@@ -308,9 +323,11 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
     for k in range(4):
         code = (code << _U(16)) | stream[first + k]
 
-    def take(which: np.ndarray, low: np.ndarray) -> None:
-        code[which] = (code[which] << _U(16)) | stream[np.minimum(at[which], len(stream) - 1)]
-        at[which] += 1
+    def take(which: np.ndarray, code: np.ndarray, held: np.ndarray) -> None:
+        """Moves a word of each lane `which` into its code, held at the places `held`."""
+        here = at[which]
+        code[held] = (code[held] << _U(16)) | stream[np.minimum(here, len(stream) - 1)]
+        at[which] = here + 1
 
     steps = np.zeros((block, n), np.uint32)
     for t in range(block):
@@ -320,25 +337,30 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
                 break
         m = lanes.n
         lanes.predict()
-        p = lanes.p << 4
-        hit = ((code[:m] - lanes.low) < (lanes.range >> _U(16)) * p.astype(_U)).astype(np.int32)
-        lanes.narrow(slice(0, m), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16, take)
-        ids = lanes.guess.copy()
+        p = lanes.p.astype(_U) << _U(4)
+        hit = ((code[:m] - lanes.low) < (lanes.range >> _U(16)) * p).astype(np.int32)
         missed = np.flatnonzero(hit == 0)
+        start, width = np.zeros(m, _U), p.copy()
+        start[missed] = p[missed]
+        width[missed] = _U(65536) - p[missed]
+        _narrow(lanes.low, lanes.range, start, width, 16, lambda which, _: take(which, code, which))
+        ids = lanes.guess.copy()
         if len(missed):
-            found = np.zeros(len(missed), np.int32)
+            found, base, first = np.zeros(len(missed), np.int32), lanes.base0.take(missed), np.arange(len(missed)) * 16
+            low, rng, own = lanes.low[missed], lanes.range[missed], code[missed]
             for level in range(nibbles):
                 # the nibbles found so far stand where those of a whole id would
-                at_ctx = lanes.context(level, found << (4 * (nibbles - level)), missed)
-                rows = lanes.bounds[at_ctx]
-                value = np.minimum((code[missed] - lanes.low[missed]) // (lanes.range[missed] >> _U(_TOTAL_BITS)), _U(_TOTAL - 1)).astype(np.int16)
-                nib = (rows <= value[:, None]).sum(axis=1, dtype=np.int32) - 1
-                k = np.arange(len(nib))
-                start = rows[k, nib].astype(np.int32)
-                end = np.where(nib == 15, _TOTAL, rows[k, np.minimum(nib + 1, 15)].astype(np.int32))
-                lanes.narrow(missed, start, end - start, _TOTAL_BITS, take)
-                lanes.bounds[at_ctx] = rows + ((_TARGET[nib] - rows) >> _RATE)
+                at_ctx = lanes.context(level, found << (4 * (nibbles - level)), base)
+                rows = lanes.bounds.take(at_ctx, axis=0)
+                value = np.minimum((own - low) // (rng >> _U(_TOTAL_BITS)), _U(_TOTAL - 1)).astype(np.int16)
+                flat, place = rows.ravel(), first
+                for step in (8, 4, 2, 1):  # the last bound that is not above the value
+                    place = place + step * (flat.take(place + step) <= value)
+                nib = (place - first).astype(np.int32)
+                _narrow(low, rng, *lanes.part(rows, first, nib), _TOTAL_BITS, lambda which, _: take(missed[which], own, which))  # noqa: B023
+                lanes.count(at_ctx, rows, nib)
                 found = (found << 4) | nib
+            lanes.low[missed], lanes.range[missed], code[missed] = low, rng, own
             ids[missed] = found
         lanes.learn(ids, hit)
         steps[t, :m] = ids
