@@ -10,7 +10,7 @@ for, so no link is lost that would change one:
 
 1. Of the documents that share a prefix n-gram each is compared with one head. A group of near copies takes as many pairs as members.
 2. In groups that are still not connected, members of different components are compared pair by pair where few of them (SMALL) can be
-   the smaller side of a pair that links.
+   the smaller side of a pair that links, or few are outside the group's largest component, as one end of every such pair is.
 3. The members of the others are described by what sets them apart from their head, their deviations. |x ^ y| <= h for sets that link, so
    |dx & dy| >= (|dx| + |dy| - h) / 2: members that link share most of their deviations, and a prefix of those, rarest first, brings them
    together. What all members have in common has no weight any more, so the new groups are small, and step 1 starts again with them.
@@ -52,7 +52,7 @@ FLUSH_CODES, BATCH_GRAMS = 2_000_000, 1 << 20
 _SEEN = 1 << 22
 #: Bits of a row of a bitmap (those of Spark's bitmap_construct_agg), and bits for each key in it.
 ROW_BITS, KEY_BITS = 32768, 8
-#: Groups with so many possible smaller sides are compared pair by pair, and larger ones while they take so many pairs for each first entry.
+#: Groups with so many possible sides are compared pair by pair, and larger ones while they take so many pairs for each first entry.
 SMALL, PAIRS_PER_ENTRY = 32, 1
 
 
@@ -366,17 +366,23 @@ def _smaller_side(per_cent: int) -> Column:
 
 
 def _of_use(entries: DataFrame, per_cent: int) -> DataFrame:
-    """The entries that can bring up a pair of different parts, with their group's head, and its count `few` of possible smaller sides."""
+    """The entries that can bring up a pair of different parts, with their group's head; every such pair has a `side` among `few` of the group.
+
+    The sides are the possible smaller ones or, if those are fewer, the entries outside the group's largest part.
+    """
     most = _most_apart(per_cent, F.col("size") + F.floor(100 * F.col("size") / F.lit(per_cent)))
     sides = entries.withColumn("smaller", _smaller_side(per_cent))
     least = sides.where("smaller").groupBy("gram").agg(F.min("dev").alias("least"))
     sides = sides.join(least.hint("merge"), "gram").where(F.col("smaller") | (F.col("dev") - 2 * F.col("place") + most >= F.col("least"))).drop("least")
-    groups = sides.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.col("smaller").cast("int")).alias("few"), _heads()).where("p <> q").drop("p", "q")
-    return sides.join(groups.hint("merge"), "gram")
+    by_part = sides.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("smaller").cast("int")).alias("s"), _heads())
+    groups = by_part.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.sum("s").alias("s"), F.min("head").alias("head")).where("all > main.c")
+    groups = groups.withColumn("outside", F.col("all") - F.col("main.c")).select("gram", "head", F.col("main.part").alias("main"), F.least("s", "outside").alias("few"), (F.col("outside") < F.col("s")).alias("by_part"))
+    side = F.when(F.col("by_part"), F.col("part") != F.col("main")).otherwise(F.col("smaller"))
+    return sides.join(groups.hint("merge"), "gram").withColumn("side", side).drop("smaller", "main", "by_part")
 
 
 def _pairwise(entries: DataFrame, most: int) -> int:
-    """Up to which number of smaller sides groups are compared pair by pair: SMALL, or the power of two that takes `most` pairs in all."""
+    """Up to which number of sides groups are compared pair by pair: SMALL, or the power of two that takes `most` pairs in all."""
     power = F.ceil(F.log2(F.col("few"))).cast("int").alias("power")
     by_size = entries.where(F.col("few") > SMALL).groupBy(power).agg(F.sum("few").alias("pairs")).orderBy("power").collect()
     limit, total = SMALL, 0
@@ -434,10 +440,12 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
     label, more = None, spark.createDataFrame([], "a long, b long, pa long, pb long")
     member = F.struct("node", "size", "dev", "place", "part")
     while True:
-        heads = entries.groupBy("gram").agg(_heads())
-        near = entries.select("gram", member.alias("x")).join(heads.hint("merge"), "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
-        near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
-        pairs = table(near.unionByName(more).distinct(), "pairs")
+        if entries is not None:
+            heads = entries.groupBy("gram").agg(_heads())
+            near = entries.select("gram", member.alias("x")).join(heads.hint("merge"), "gram").where((F.col("x.part") != F.col("head.part")) & _may_link("x", "head", per_cent))
+            near = near.select(F.col("head.node").alias("a"), F.col("x.node").alias("b"), F.col("head.part").alias("pa"), F.col("x.part").alias("pb"))
+            more = near.unionByName(more)
+        pairs = table(more.distinct(), "pairs")
         texts = table(node_texts(docs, sets, _either(pairs)), "texts")
         links = table(verify(pairs, texts, n, per_cent, order).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")), "links")
         drop_table(pairs)
@@ -446,34 +454,36 @@ def join_documents(docs: DataFrame, n: int = N, per_cent: int = PER_CENT, fragme
         if not links.isEmpty():
             step = components(links)
             label = _joined_parts(label, step)
-            entries_ = entries.join(step.select(F.col("node").alias("part"), "root"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
-            entries, old = table(entries_, "entries"), entries
-            drop_table(old)
+            if entries is not None:
+                entries_ = entries.join(step.select(F.col("node").alias("part"), "root"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+                entries, old = table(entries_, "entries"), entries
+                drop_table(old)
         drop_table(links)
+        if entries is None:  # the pairs were the last ones
+            return sets, label if label is not None else spark.createDataFrame([], "node long, root long")
         # where all members are connected nothing is left to find
         open_ = table(_of_use(entries, per_cent), "open")
         drop_table(entries)
         small = F.col("few") <= _pairwise(open_, PAIRS_PER_ENTRY * size)
-        few = open_.where(small).select("gram", "smaller", member.alias("x"))
+        few = open_.where(small).select("gram", "side", member.alias("x"))
         before = F.struct("x.dev", "x.node") < F.struct("y.dev", "y.node")
-        each = few.where("smaller").join(few.select("gram", F.col("x").alias("y")), "gram").where(before & (F.col("x.part") != F.col("y.part")) & _may_link("x", "y", per_cent))
+        each = few.where("side").join(few.select("gram", F.col("side").alias("too"), F.col("x").alias("y")), "gram")
+        each = each.where((before | ~F.col("too")) & (F.col("x.part") != F.col("y.part")) & _may_link("x", "y", per_cent))
         more = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("pa"), F.col("y.part").alias("pb"))
         large = open_.where(~small & (F.col("node") != F.col("head.node"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"), "part")
         large = table(large.distinct(), "members")
         if large.isEmpty():
-            entries = open_.select("gram", "node", "size", "dev", "place", "part").limit(0)
+            entries = None
         else:
             texts = table(node_texts(docs, sets, _either(large)), "texts")
             entries, sure = deviations(large, texts, n, per_cent, order)
             drop_table(texts)
-            more = more.unionByName(sure)
-        entries, more = table(entries, "entries"), table(more.distinct(), "more")
+            entries, more = table(entries, "entries"), more.unionByName(sure)
+        more = table(more.distinct(), "more")
         drop_table(open_)
         drop_table(large)
         release(spark)
-        if entries.isEmpty() and more.isEmpty():
-            for done in (entries, more):
-                drop_table(done)
+        if (entries is None or entries.isEmpty()) and more.isEmpty():
             return sets, label if label is not None else spark.createDataFrame([], "node long, root long")
 
 

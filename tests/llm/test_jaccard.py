@@ -109,6 +109,31 @@ def test_large_group_of_near_copies(spark, monkeypatch, n, t, words):
     assert ours(documents(spark, [(i, x, "en", "a") for i, x in rows]), n, t) == brute(rows, n, t)
 
 
+def test_few_outside_the_largest_part(spark):
+    """In a group of 60 connected members and two others, each pair of different parts has one of those two: they are the sides, not all 62."""
+    entries = spark.createDataFrame([(7, i, 100, 100, 0, i if i in (20, 40) else -1) for i in range(62)], "gram long, node long, size int, dev int, place int, part long")
+    rows = jaccard._of_use(entries, 80).collect()
+    assert len(rows) == 62 and {r["few"] for r in rows} == {2}
+    assert {r["node"] for r in rows if r["side"]} == {20, 40}
+
+
+def test_near_group_ends_in_few_rounds(spark, monkeypatch):
+    """Most copies of a text are linked and some are far from all: these are compared at once, not described by deviations again and again."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(80):
+        text = list(base)
+        for at in r.sample(range(120), 7 if i % 20 == 0 else r.randint(0, 2)):
+            text[at] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    names, table = [], jaccard.table
+    monkeypatch.setattr(jaccard, "table", lambda df, name, *a, **b: names.append(name) or table(df, name, *a, **b))
+    assert ours(documents(spark, [(i, x, "en", "a") for i, x in rows]), 4, 85) == brute(rows, 4, 85)
+    assert names.count("pairs") <= 2 and "deviations" not in names
+
+
 def test_fragments_are_intervals_of_the_order():
     """Every n-gram is in one fragment, and fragments ascend with (rank, hash)."""
     r = np.random.default_rng(4)
