@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_texts, partitions_for, shared_dir, slices, text_bytes, write_file
+from .common import BLANKS, batch_texts, partitions_for, shared_dir, slices, text_bytes, write_file
 
 #: Ids in a block, ids in a file (rounded up to whole documents), UTF-8 bytes for one writing task.
 BLOCK, FILE_TOKENS, TASK_BYTES = 4096, 8 << 20, 20 << 20
@@ -40,18 +40,67 @@ _HEAD = struct.Struct("<8sQQIII")
 
 # ---------------------------------------------------------------- text to ids
 
-_CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Blanks beyond ASCII (and the separators 1C-1F) by which the tokenizer's pattern may also cut.
 _OTHER_BLANKS = "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
-_CACHE_CHUNKS = 300_000
+_CACHE_PIECES, _LEARN = 700_000, 20_000
+
+
+def _table(*kinds: bytes) -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    for k, which in enumerate(kinds, 1):
+        out[list(which)] = k
+    return out
+
+
+_LETTERS, _DIGITS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+#: Lead bytes C3 to C8 and what follows them are Latin letters (but for the signs C3 97 and C3 B7).
+_LATIN = bytes([*range(0x80, 0xC0), *range(0xC3, 0xC9)])
+_HELD = bytes([39, *(set(range(128, 256)) - {*_LATIN})])
+_SIGNS = bytes(set(range(128)) - {*_LETTERS, *_DIGITS, *_HELD, *BLANKS})
+#: Kinds of bytes: 0 blanks, 1 letters, 2 digits, 3 other ASCII, 4 what keeps its word in one piece.
+_KIND = _table(_LETTERS + _LATIN, _DIGITS, _SIGNS, _HELD)
+#: Bytes with which any of _OTHER_BLANKS begins in UTF-8.
+_MAY_BE_BLANK = _table(bytes({c.encode()[0] for c in _OTHER_BLANKS[1:-1]})) > 0
+
+#: Letters, digits or signs after at most one space: what the tokenizer's pattern never cuts.
+_SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF])+|[0-9]+|[!-&(-/:-@[-`{-~]+)").fullmatch
+#: The character by which a byte-level tokenizer writes a byte that is not printable.
+_BYTE_CHARS = dict(zip([*range(33), *range(127, 161), 173], range(256, 324)))
+
+
+def cut(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin that start at `starts`: at blanks after a word, and where letters, digits and signs meet in it.
+
+    A piece takes along the blanks before it. Words with an apostrophe or a character beyond ASCII but Latin letters are one piece.
+    """
+    kind = _KIND.take(data)
+    begins = np.zeros(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
+    begins[1:-1] &= kind[:-1] != 0
+    begins[starts] = True
+    begins[-1] = False
+    signs = np.flatnonzero(data == 0xC3)
+    follows = data.take(np.minimum(signs + 1, len(data) - 1))
+    kind[signs[(follows == 0x97) | (follows == 0xB7)]] = 4
+    held = np.flatnonzero(kind == 4)
+    at = np.flatnonzero(begins)
+    if len(held):
+        fixed = kind.take(at) == 0
+        fixed[np.searchsorted(at, starts[starts < len(data)])] = True
+        word = np.cumsum(fixed) - 1
+        whole = np.zeros(len(at), bool)
+        whole[word[np.searchsorted(at, held, "right") - 1]] = True
+        at = at[fixed | ~whole[word]]
+    return at
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer file of the tokenizers library.
 
     A byte-level tokenizer that cuts texts by its usual pattern never joins what stands before a run of ASCII blanks with what follows,
-    so each distinct "blanks and word" is encoded once and remembered. Texts with other blanks or special tokens, and all texts under
-    any other kind of tokenizer, are encoded in one piece.
+    nor letters with digits or other signs but apostrophes, so each distinct piece (see cut) is encoded once and remembered: pieces that
+    its pattern leaves whole by the tokenizer's model alone. Texts with other blanks or special tokens, and all texts under any other
+    kind of tokenizer, are encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -62,9 +111,10 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         before = kind.get("pre_tokenizer") or {}
         self.piecewise = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer")
-        special = [re.escape(t["content"]) for t in kind.get("added_tokens", [])]
-        self.whole = re.compile("|".join([_OTHER_BLANKS, *special]))
+        self.special = [t["content"] for t in kind.get("added_tokens", [])]
+        self.whole = re.compile("|".join([_OTHER_BLANKS, *map(re.escape, self.special)]))
         self.largest = self.tokenizer.get_vocab_size() - 1
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
@@ -72,45 +122,63 @@ class Encoder:
         self.flat, self.at, self.length = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for a in range(0, len(chunks), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks[a : a + 20_000]], add_special_tokens=False)]
-            ids = np.array([i for x in found for i in x], np.uint32)
-            n = len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(found) > len(self.at):
-                self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(found)] = sizes
-            self.used += len(ids)
-            self.known.update(zip(chunks[a : a + 20_000], range(n, n + len(found))))
+    def _learn(self, pieces: list[bytes]) -> None:
+        simple, others = [], []
+        for p in pieces:
+            (simple if _SIMPLE(p) else others).append(p)
+        tokenize = self.model.tokenize
+        for part in (simple, others):
+            for a in range(0, len(part), _LEARN):
+                some = part[a : a + _LEARN]
+                if part is simple:
+                    found = [[t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_CHARS))] for p in some]
+                else:
+                    found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+                ids, sizes = np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+                n = len(self.known)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+                while n + len(some) > len(self.at):
+                    self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.at[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
+                self.length[n : n + len(some)] = sizes
+                self.used += len(ids)
+                self.known.update(zip(some, range(n, n + len(some))))
 
     def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        chunks: list[bytes] = []
-        counts = []
-        for t in texts:
-            found = _CHUNK.findall(t)
-            counts.append(len(found))
-            chunks += found
-        distinct = set(chunks)
-        if len(self.known) + len(distinct) > _CACHE_CHUNKS and self.known:
+        starts = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=starts[1:])
+        data = b"".join(texts)
+        if not data:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        at = cut(np.frombuffer(data, np.uint8), starts)
+        column = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct, index = column.dictionary.to_pylist(), np.asarray(column.indices)
+        missing = [p for p in distinct if p not in self.known]
+        if missing and len(self.known) + len(missing) > _CACHE_PIECES and self.known:
             self._forget()
-        if missing := distinct.difference(self.known):
-            self._learn(list(missing))
-        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.length[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[which] - ends + sizes, sizes) + np.arange(total)]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        return ids, np.diff(edge)
+            missing = distinct
+        if missing:
+            self._learn(missing)
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        sizes = self.length[which].take(index)
+        ends = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        from_here = np.repeat(self.at[which].take(index) - ends[:-1], sizes)
+        from_here += np.arange(len(from_here))
+        return self.flat.take(from_here), np.diff(ends[np.searchsorted(at, starts)])
+
+    def _in_pieces(self, text: bytes) -> bool:
+        if not self.piecewise:
+            return False
+        if any(t.encode() in text for t in self.special):
+            return False
+        return not (_MAY_BE_BLANK.take(np.frombuffer(text, np.uint8)).any() and self.whole.search(text.decode()))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and the number of ids of each text."""
-        plain = [self.piecewise and not self.whole.search(t.decode()) for t in texts]
+        plain = [self._in_pieces(t) for t in texts]
         ids, sizes = self._pieces([t for t, p in zip(texts, plain) if p])
         others = iter([e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t, p in zip(texts, plain) if not p], add_special_tokens=False)])
         lengths = np.empty(len(texts), np.int64)
@@ -143,6 +211,8 @@ _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
 _SLOTS1, _SLOTS2 = 10, 11
 _RATE = 4
+#: A row of 16 bounds as one item.
+_ROW = np.dtype("V32")
 
 
 def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +222,8 @@ def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _STRETCH, _SQUASH = _logistic_tables()
+#: A guess's confidence after a miss and after a hit; below 2 the guess itself gives way to the id that came.
+_GROWN = np.array([x for k in range(8) for x in (max(k >> 1, k < 2), min(k + 1, 7))], np.int32)
 #: For each nibble the lower bounds that its frequencies move towards; none ever gets empty.
 _TARGET = (np.arange(16) + (np.arange(16) > np.arange(16)[:, None]) * (_TOTAL - 16)).astype(np.int16)
 
@@ -169,49 +241,74 @@ class _Lanes:
         # contexts of the three chances: confidence 2 with how the guesses relate, confidence 1, recent hits; 64 in all
         start = np.concatenate([np.minimum(60000, 2000 + 700 * (8 * (np.arange(24) // 3) + np.arange(24) % 3)), 2000 + 4000 * (np.arange(16) // 2), np.full(24, 12000)])
         self.chance = np.tile(start.astype(np.int32), n)
-        self.width = lane * 64
+        self.width = lane * 64 + np.array([[0], [24], [40]])
         self.weight = np.full((3, n), 26000, np.int32)
         self.history = np.zeros(n, np.int32)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
         contexts = 1 + 16 + 256 + 16 * (nibbles - 3)
         self.bounds = np.tile((np.arange(16) * (_TOTAL // 16)).astype(np.int16), (n * contexts, 1))
+        self.whole_rows = self.bounds.view(_ROW).ravel()
         self.base0 = lane * contexts
+        self.first = np.arange(n * nibbles) * 16
 
     def shrink(self, n: int) -> None:
         """Goes on with the first n lanes only."""
         self.n = n
         for name in ("low", "range", "base0", "base1", "base2", "history", "last", "before"):
             setattr(self, name, getattr(self, name)[:n])
-        self.width, self.weight = self.width[:n], self.weight[:, :n]
+        self.width, self.weight = self.width[:, :n], self.weight[:, :n]
 
     def predict(self) -> None:
         a = self.last * np.int32(0x1E3779B1)
         self.s1 = self.base1 + ((a >> 13) & ((1 << _SLOTS1) - 1))
         self.s2 = self.base2 + (((a + self.before * np.int32(0x05EBCA6B)) >> 14) & ((1 << _SLOTS2) - 1))
         v1, v2 = self.t1.take(self.s1), self.t2.take(self.s2)
-        self.q1, self.k1, self.q2, self.k2 = v1 >> 3, v1 & 7, v2 >> 3, v2 & 7
+        self.v1, self.v2, self.q1, self.k1, self.q2, self.k2 = v1, v2, v1 >> 3, v1 & 7, v2 >> 3, v2 & 7
         sure = self.k2 > 0
-        self.guess = np.where(sure, self.q2, self.q1)
-        relation = (self.k1 > 0) * (np.int32(1) + (self.q1 == self.q2))
+        self.guess = self.q1.copy()
+        np.putmask(self.guess, sure, self.q2)
+        relation = (self.q1 == self.q2).view(np.int8) + np.int8(1)
+        relation *= self.k1 > 0
         self.at = np.empty((3, self.n), np.int64)
-        self.at[0] = self.width + self.k2 * 3 + relation
-        self.at[1] = self.width + (self.k1 * 2 + 24) + sure
-        self.at[2] = self.width + (self.history + 40)
+        np.add(self.k2 * np.int32(3), relation, out=self.at[0])
+        np.add(self.k1 * np.int32(2), sure, out=self.at[1])
+        self.at[2] = self.history
+        self.at += self.width
         self.drawn = self.chance.take(self.at)
         self.stretched = _STRETCH.take(self.drawn >> 4)
-        mixed = (self.weight * self.stretched).sum(axis=0, dtype=np.int32) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2048)
+        weighed = self.weight * self.stretched
+        mixed = weighed[0] + weighed[1]
+        mixed += weighed[2]
+        mixed >>= 16
+        np.maximum(mixed, -2047, out=mixed)
+        np.minimum(mixed, 2047, out=mixed)
+        mixed += 2048
+        self.p = _SQUASH.take(mixed)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        error = ((hit << 12) - self.p) * 6
-        self.chance[self.at] = self.drawn + ((hit * 65535 - self.drawn) >> _RATE)
-        self.weight += (self.stretched * error + 0x2000) >> 14
+        hit = hit.astype(np.int32)
+        error = hit << 12
+        error -= self.p
+        error *= 6
+        moved = hit * np.int32(65535) - self.drawn
+        moved >>= _RATE
+        moved += self.drawn
+        self.chance[self.at] = moved
+        step = self.stretched * error
+        step += 0x2000
+        step >>= 14
+        self.weight += step
         np.minimum(self.weight, 1 << 18, out=self.weight)
         np.maximum(self.weight, -(1 << 18), out=self.weight)
         self.history = ((self.history << 1) | hit) & 15
-        for t, s, q, k in ((self.t1, self.s1, self.q1, self.k1), (self.t2, self.s2, self.q2, self.k2)):
-            grown = np.where(q == ids, np.minimum(k + 1, 7), k >> 1)
-            t[s] = np.where(k < 2, (ids << 3) + np.maximum(grown, 1), (q << 3) + grown)
+        coming = ids.astype(np.int32) << 3
+        for t, s, v, q, k in ((self.t1, self.s1, self.v1, self.q1, self.k1), (self.t2, self.s2, self.v2, self.q2, self.k2)):
+            v -= k
+            np.putmask(v, k < 2, coming)
+            k <<= 1
+            k |= q == ids
+            v += _GROWN.take(k)
+            t[s] = v
         self.before, self.last = self.last, ids
 
     def context(self, level: int, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -225,36 +322,67 @@ class _Lanes:
             return base + 17 + (above & 255)
         return base + 273 + 16 * (level - 3) + (above & 15)
 
-    def part(self, rows: np.ndarray, first: np.ndarray, nib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of a nibble's part; first: where each of the rows begins."""
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The frequencies at `at`, 16 bounds each."""
+        return self.bounds.take(at, axis=0)
+
+    def part(self, rows: np.ndarray, nib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each row's nibble's part."""
+        at = self.first[: len(nib)] + nib
         flat = rows.ravel()
-        start = flat.take(first + nib).astype(_U)
-        end = np.where(nib == 15, _TOTAL, flat.take(first + np.minimum(nib + 1, 15)).astype(np.int32)).astype(_U)
-        return start, end - start
+        start = flat.take(at)
+        at += 1
+        size = flat.take(at, mode="wrap")  # every row begins with 0, which stands for _TOTAL after the last nibble
+        size -= start
+        size &= _TOTAL - 1
+        return start.astype(_U), size.astype(_U)
 
     def count(self, at: np.ndarray, rows: np.ndarray, nib: np.ndarray) -> None:
         moved = _TARGET.take(nib, axis=0)
         moved -= rows
         moved >>= _RATE
         moved += rows
-        self.bounds[at] = moved
+        self.whole_rows[at] = moved.view(_ROW).ravel()  # as one item a row: far fewer steps than 16
 
 
 def _narrow(low: np.ndarray, rng: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
     """Takes, in place, the part [start, start + size) of 2**bits of the ranges; shift(places, low) moves settled words out or in."""
     rng >>= _U(bits)
-    low += rng * start
+    start *= rng
+    low += start
     rng *= size
-    todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng <= _LOW32))
+    apart = low + rng
+    apart ^= low
+    settled = apart < _TOP
+    settled |= rng <= _LOW32
+    todo = settled.nonzero()[0]
     while len(todo):
-        lo, r = low[todo], rng[todo]
-        settled = (lo ^ (lo + r)) < _TOP
-        r = np.where(settled, r, (_U(0) - lo) & _LOW32)
+        lo, r = low.take(todo), rng.take(todo)
+        settled = apart.take(todo) < _TOP
+        if not settled.all():
+            r = np.where(settled, r, (_U(0) - lo) & _LOW32)
         shift(todo, lo)
         lo <<= _U(16)
         r <<= _U(16)
         low[todo], rng[todo] = lo, r
-        todo = todo[((lo ^ (lo + r)) < _TOP) | (r <= _LOW32)]
+        again = lo + r
+        again ^= lo
+        more = again < _TOP
+        more |= r <= _LOW32
+        if not more.any():
+            break
+        apart[todo] = again
+        todo = todo[more]
+
+
+def _hit_part(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, of 65536, of a hit's or a miss's part at a chance of p / 4096."""
+    chance = p.astype(_U)
+    chance <<= _U(4)
+    size = _U(65536) - chance
+    np.putmask(size, hit, chance)
+    np.putmask(chance, hit, _U(0))
+    return chance, size
 
 
 def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.ndarray]:
@@ -268,11 +396,18 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
     del grid
     tail = len(ids) - (n - 1) * block
     lanes = _Lanes(n, nibbles)
-    out, filled = np.empty((n, block * (nibbles + 1) + 16), np.uint16), np.zeros(n, np.int64)
+    # words and their lanes as they come; dealt to the lanes at the end
+    words, owners = [np.empty(0, np.uint16)], [np.empty(0, np.int32)]
+    gathered: list[tuple[np.ndarray, np.ndarray]] = []
 
     def emit(which: np.ndarray, low: np.ndarray) -> None:
-        out[which, filled[which]] = low >> _U(48)
-        filled[which] += 1
+        gathered.append((which, low >> _U(48)))
+
+    def settle() -> None:
+        if gathered:
+            owners.append(np.concatenate([x for x, _ in gathered]).astype(np.int32))
+            words.append(np.concatenate([x for _, x in gathered]).astype(np.uint16))
+            gathered.clear()
 
     finals = {}
     for t in range(block):
@@ -283,30 +418,36 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[np.
                 break
         ids_now = steps[t, : lanes.n]
         lanes.predict()
-        hit = (lanes.guess == ids_now).astype(np.int32)
-        p = lanes.p.astype(_U) << _U(4)
-        missed = np.flatnonzero(hit == 0)
-        start, width = np.zeros(lanes.n, _U), p.copy()
-        start[missed] = p[missed]
-        width[missed] = _U(65536) - p[missed]
-        _narrow(lanes.low, lanes.range, start, width, 16, emit)
-        if len(missed):
-            wanted, base, first = ids_now[missed], lanes.base0.take(missed), np.arange(len(missed)) * 16
-            low, rng = lanes.low[missed], lanes.range[missed]
+        hit = lanes.guess == ids_now
+        _narrow(lanes.low, lanes.range, *_hit_part(lanes.p, hit), 16, emit)
+        missed = (~hit).nonzero()[0]
+        if m := len(missed):
+            wanted, base = ids_now.take(missed), lanes.base0.take(missed)
+            low, rng = lanes.low.take(missed), lanes.range.take(missed)
+            # the levels have no row in common, so they are read and counted together
+            at, nib = np.empty((nibbles, m), np.int64), np.empty((nibbles, m), np.int32)
             for level in range(nibbles):
-                at = lanes.context(level, wanted, base)
-                rows = lanes.bounds.take(at, axis=0)
-                nib = (wanted >> (4 * (nibbles - 1 - level))) & 15
-                _narrow(low, rng, *lanes.part(rows, first, nib), _TOTAL_BITS, lambda which, x: emit(missed[which], x))  # noqa: B023
-                lanes.count(at, rows, nib)
+                at[level] = lanes.context(level, wanted, base)
+                np.right_shift(wanted, 4 * (nibbles - 1 - level), out=nib[level])
+            nib &= 15
+            at, nib = at.ravel(), nib.ravel()
+            rows = lanes.rows(at)
+            start, size = lanes.part(rows, nib)
+            for k in range(0, nibbles * m, m):
+                _narrow(low, rng, start[k : k + m], size[k : k + m], _TOTAL_BITS, lambda which, x: emit(missed.take(which), x))  # noqa: B023
+            lanes.count(at, rows, nib)
             lanes.low[missed], lanes.range[missed] = low, rng
         lanes.learn(ids_now, hit)
+        if t % 64 == 63:
+            settle()
+    settle()
     finals |= {i: int(x) for i, x in enumerate(lanes.low)}
-    result = []
-    for i in range(n):
-        end = np.array([(finals[i] >> s) & 0xFFFF for s in (48, 32, 16, 0)], np.uint16)
-        result.append(np.concatenate([out[i, : filled[i]], end]))
-    return result
+    owner = np.concatenate(owners)
+    order = np.argsort(owner.astype(np.uint16) if n <= 1 << 16 else owner, kind="stable")
+    coded = np.concatenate(words).take(order)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    ends = [np.array([(finals[i] >> s) & 0xFFFF for s in (48, 32, 16, 0)], np.uint16) for i in range(n)]
+    return [np.concatenate([coded[edges[i] : edges[i + 1]], ends[i]]) for i in range(n)]
 
 
 def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int = BLOCK) -> np.ndarray:
@@ -317,7 +458,7 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
     tail = total - (n - 1) * block
     sizes = np.array([len(w) for w in words], np.int64)
     first = np.cumsum(sizes) - sizes
-    stream = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(_U)
+    stream = np.concatenate([*words, np.zeros(8, np.uint16)])
     lanes, at = _Lanes(n, nibbles), first + 4
     code = np.zeros(n, _U)
     for k in range(4):
@@ -325,9 +466,13 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
 
     def take(which: np.ndarray, code: np.ndarray, held: np.ndarray) -> None:
         """Moves a word of each lane `which` into its code, held at the places `held`."""
-        here = at[which]
-        code[held] = (code[held] << _U(16)) | stream[np.minimum(here, len(stream) - 1)]
-        at[which] = here + 1
+        here = at.take(which)
+        own = code.take(held)
+        own <<= _U(16)
+        own |= stream.take(here, mode="clip")
+        code[held] = own
+        here += 1
+        at[which] = here
 
     steps = np.zeros((block, n), np.uint32)
     for t in range(block):
@@ -337,29 +482,32 @@ def decode_blocks(words: list[np.ndarray], total: int, nibbles: int, block: int
                 break
         m = lanes.n
         lanes.predict()
-        p = lanes.p.astype(_U) << _U(4)
-        hit = ((code[:m] - lanes.low) < (lanes.range >> _U(16)) * p).astype(np.int32)
-        missed = np.flatnonzero(hit == 0)
-        start, width = np.zeros(m, _U), p.copy()
-        start[missed] = p[missed]
-        width[missed] = _U(65536) - p[missed]
-        _narrow(lanes.low, lanes.range, start, width, 16, lambda which, _: take(which, code, which))
+        chance = lanes.p.astype(_U)
+        chance <<= _U(4)
+        chance *= lanes.range >> _U(16)
+        hit = (code[:m] - lanes.low) < chance
+        _narrow(lanes.low, lanes.range, *_hit_part(lanes.p, hit), 16, lambda which, _: take(which, code, which))
         ids = lanes.guess.copy()
+        missed = (~hit).nonzero()[0]
         if len(missed):
-            found, base, first = np.zeros(len(missed), np.int32), lanes.base0.take(missed), np.arange(len(missed)) * 16
-            low, rng, own = lanes.low[missed], lanes.range[missed], code[missed]
+            found, base = np.zeros(len(missed), np.int32), lanes.base0.take(missed)
+            low, rng, own = lanes.low.take(missed), lanes.range.take(missed), code.take(missed)
+            met = []
             for level in range(nibbles):
                 # the nibbles found so far stand where those of a whole id would
                 at_ctx = lanes.context(level, found << (4 * (nibbles - level)), base)
-                rows = lanes.bounds.take(at_ctx, axis=0)
-                value = np.minimum((own - low) // (rng >> _U(_TOTAL_BITS)), _U(_TOTAL - 1)).astype(np.int16)
-                flat, place = rows.ravel(), first
-                for step in (8, 4, 2, 1):  # the last bound that is not above the value
-                    place = place + step * (flat.take(place + step) <= value)
-                nib = (place - first).astype(np.int32)
-                _narrow(low, rng, *lanes.part(rows, first, nib), _TOTAL_BITS, lambda which, _: take(missed[which], own, which))  # noqa: B023
-                lanes.count(at_ctx, rows, nib)
+                rows = lanes.rows(at_ctx)
+                value = own - low
+                value //= rng >> _U(_TOTAL_BITS)
+                np.minimum(value, _U(_TOTAL - 1), out=value)
+                # how many bounds are not above the value, eight truth values a word
+                below = np.bitwise_count((rows <= value.astype(np.int16)[:, None]).view(_U))
+                nib = (below[:, 0] + below[:, 1]).astype(np.int32)
+                nib -= 1
+                _narrow(low, rng, *lanes.part(rows, nib), _TOTAL_BITS, lambda which, _: take(missed.take(which), own, which))  # noqa: B023
+                met.append((at_ctx, rows, nib))
                 found = (found << 4) | nib
+            lanes.count(*map(np.concatenate, zip(*met)))
             lanes.low[missed], lanes.range[missed], code[missed] = low, rng, own
             ids[missed] = found
         lanes.learn(ids, hit)

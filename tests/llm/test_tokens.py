@@ -72,3 +72,32 @@ def test_coded_words_stay():
     r = np.random.default_rng(4)
     ids = np.where(r.random(3000) < 0.5, np.arange(3000) % 7, r.integers(0, 65536, 3000)).astype(np.uint32)
     assert [zlib.crc32(b"".join(w.astype("<u2").tobytes() for w in tokens.encode_blocks(ids, n, 256))) for n in (4, 6)] == [3006655907, 4109883539]
+
+
+def test_words_are_encoded_once_whatever_signs_follow():
+    """Pieces are words and signs, so their number does not grow with the combinations of both."""
+    e = tokens.Encoder(tokenizer_path())
+    words, signs = [f"word{'abcdefghij'[i]}é" for i in range(10)], [",", ".", "!", "?", ";", ":", ")", '"', "%%%", "12"]
+    text = " ".join(w + s for w in words for s in signs)
+    ids, n = e.encode([text.encode()], 2)
+    assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
+    assert len(e.known) <= len(words) + len(signs) + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZésreS'19.,_×÷ÿĀɀ²٣🙂’ \t\n\v\x00\x1c\x7f\x85"), max_size=30), max_size=6))
+def test_cuts_within_words(texts):
+    """Letters, digits, signs, apostrophes and characters of several bytes side by side."""
+    e = tokens.encoder(tokenizer_path())
+    ids, n = e.encode([t.encode() for t in texts], 2)
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    """The pieces kept are bounded; a text that needs more than are kept is still encoded whole."""
+    monkeypatch.setattr(tokens, "_CACHE_PIECES", 3)
+    e = tokens.Encoder(tokenizer_path())
+    for text in ("one two three", "four five six seven", "one two three"):
+        ids, _ = e.encode([text.encode()], 2)
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [2]
