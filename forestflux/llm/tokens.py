@@ -42,7 +42,7 @@ _HEAD = struct.Struct("<8sQQIII")
 
 #: Blanks beyond ASCII (and the separators 1C-1F) by which the tokenizer's pattern may also cut.
 _OTHER_BLANKS = "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
-_CACHE_PIECES, _LEARN = 700_000, 20_000
+_CACHE_PIECES, _LEARN = 400_000, 20_000
 
 
 def _table(*kinds: bytes) -> np.ndarray:
@@ -122,6 +122,25 @@ class Encoder:
         self.flat, self.at, self.length = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
 
+    def _keep(self, pieces: list[bytes]) -> None:
+        """Forgets all known pieces but these."""
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        flat, at, sizes = self.flat, self.at[which], self.length[which]
+        self._forget()
+        self._add(pieces, flat[np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(self.known) + len(pieces)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while m > len(self.at):
+            self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.length[n:m] = sizes
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, m)))
+
     def _learn(self, pieces: list[bytes]) -> None:
         simple, others = [], []
         for p in pieces:
@@ -134,17 +153,7 @@ class Encoder:
                     found = [[t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_CHARS))] for p in some]
                 else:
                     found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
-                ids, sizes = np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-                n = len(self.known)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                while n + len(some) > len(self.at):
-                    self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-                self.length[n : n + len(some)] = sizes
-                self.used += len(ids)
-                self.known.update(zip(some, range(n, n + len(some))))
+                self._add(some, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
 
     def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.zeros(len(texts) + 1, np.int64)
@@ -157,8 +166,7 @@ class Encoder:
         distinct, index = column.dictionary.to_pylist(), np.asarray(column.indices)
         missing = [p for p in distinct if p not in self.known]
         if missing and len(self.known) + len(missing) > _CACHE_PIECES and self.known:
-            self._forget()
-            missing = distinct
+            self._keep([p for p in distinct if p in self.known])
         if missing:
             self._learn(missing)
         which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
@@ -527,7 +535,7 @@ def pack(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.nd
     """One file: header, documents, blocks, and a checksum of all that."""
     block = block_for(len(ids))
     words = encode_blocks(ids, nibbles, block)
-    little = ids.astype("<u4")
+    little = ids.astype("<u4", copy=False)
     sums = np.array([zlib.crc32(little[k * block : (k + 1) * block].tobytes()) for k in range(len(words))], "<u4")
     head = _HEAD.pack(_MAGIC, len(doc_ids), len(ids), block, nibbles, len(words))
     head += doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u8").tobytes()
@@ -583,10 +591,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
         def flush() -> None:
             nonlocal number
             doc_ids, nulls, lengths, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             name = f"part-{part:06d}-{number:04d}.tok"
             write_file(f"{folder}/{name}", pack(doc_ids, nulls, lengths, ids, nibbles))
             done.append((name, len(ids), len(doc_ids)))
-            held.clear()
             number += 1
 
         for batch in batches:
